@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.llm.mixing import op7_mix_sources
 from tessera.llm.quality_rules import op10_quality_rules
+from tessera.llm.sharding import op4_two_pass_shuffle
 
 QUERIES = {
+    "op4_two_pass_shuffle": op4_two_pass_shuffle,
+    "op7_mix_sources": op7_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 
