@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from tessera.llm.chat import OP1_SQL, op1_chat_formatting
 from tessera.llm.mixing import op7_mix_sources
 from tessera.llm.quality_rules import op10_quality_rules
+from tessera.llm.secrets import op5_secret_scan
 from tessera.llm.sharding import op4_two_pass_shuffle
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
+    "op5_secret_scan": op5_secret_scan,
     "op7_mix_sources": op7_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": OP1_SQL,
+}
