@@ -7,12 +7,14 @@ from tessera.llm.mixing import op7_mix_sources
 from tessera.llm.quality_rules import op10_quality_rules
 from tessera.llm.secrets import op5_secret_scan
 from tessera.llm.sharding import op4_two_pass_shuffle
+from tessera.llm.simhash import op9_simhash_near_dedup
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op5_secret_scan": op5_secret_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
