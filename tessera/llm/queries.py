@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.chat import OP1_SQL, op1_chat_formatting
 from tessera.llm.mixing import op7_mix_sources
+from tessera.llm.pii import op3_personal_data
 from tessera.llm.quality_rules import op10_quality_rules
 from tessera.llm.secrets import op5_secret_scan
 from tessera.llm.sharding import op4_two_pass_shuffle
@@ -11,6 +12,7 @@ from tessera.llm.simhash import op9_simhash_near_dedup
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_personal_data": op3_personal_data,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op5_secret_scan": op5_secret_scan,
     "op7_mix_sources": op7_mix_sources,
