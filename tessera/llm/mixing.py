@@ -36,9 +36,9 @@ from tessera.llm._common import cut, table
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 7_331
-ROWS_PER_SLICE = 40_000
-MAX_SLICES = 1024
-CLASSES_PER_DOUBLING = 16
+ROWS_PER_SLICE = 8_000
+MAX_SLICES = 4096
+CLASSES_PER_DOUBLING = 8
 DRAWS = 32
 #: The plan per source is made on the driver; there it is a few dozen bytes a source.
 MAX_SOURCES = 1_000_000
