@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.chat import OP1_SQL, op1_chat_formatting
+from tessera.llm.decontaminate import op2_benchmark_decontamination
 from tessera.llm.mixing import op7_mix_sources
 from tessera.llm.pii import op3_personal_data
 from tessera.llm.quality_rules import op10_quality_rules
@@ -12,6 +13,7 @@ from tessera.llm.simhash import op9_simhash_near_dedup
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_personal_data": op3_personal_data,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op5_secret_scan": op5_secret_scan,
