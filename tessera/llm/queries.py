@@ -10,6 +10,7 @@ from tessera.llm.quality_rules import op10_quality_rules
 from tessera.llm.secrets import op5_secret_scan
 from tessera.llm.sharding import op4_two_pass_shuffle
 from tessera.llm.simhash import op9_simhash_near_dedup
+from tessera.llm.toxicity import op6_toxicity_nearest
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity_nearest": op6_toxicity_nearest,
     "op7_mix_sources": op7_mix_sources,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
