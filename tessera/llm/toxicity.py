@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm._common import cut, table
 
 WORD = re.compile(r"[^\W\d_]+")
+LEVEL = re.compile(r"(%%?|#[0-9])$")
 #: Lengths of the word beginnings that are terms beside whole words.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 7)
 MAX_TOXIC, MAX_OTHER = 6_000, 10_000
 MAX_TERMS = 4_096
 #: A term's least log-likelihood ratio against chance, and least factor between its rates.
@@ -51,14 +52,38 @@ FOLDS, HELD_OUT = 5, 0
 SCORED = "score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
 
 
-def terms(text: str) -> Counter:
-    """Words and word beginnings of a text with their counts; beginnings are marked by a trailing dash."""
+def bases(vocabulary: dict[str, int]) -> set[str]:
+    """The words and beginnings that the vocabulary's terms are levels of."""
+    return {LEVEL.sub("", t) for t in vocabulary}
+
+
+def terms(text: str, only: set[str] | None = None) -> dict[str, int]:
+    """Words, word beginnings (marked by a dash) and their levels with their counts; of these words and beginnings only, if given.
+
+    A level is a term of its own for what occurs often (#2, #3, #5 times at least) or densely (% and
+    %% for so many in a thousand words): cosine alone can't tell one mention in a long text from many."""
     words = Counter(WORD.findall(text.lower()))
-    found = Counter(words)
+    found = dict(words) if only is None else {w: words[w] for w in words.keys() & only}
     for width in PREFIXES:
         for w, n in words.items():
             if len(w) > width:
-                found[w[:width] + "-"] += n
+                start = w[:width] + "-"
+                if only is None or start in only:
+                    found[start] = found.get(start, 0) + n
+    total = sum(words.values())
+    thin, thick = total / 250, total / 60
+    least = min(2, thin)
+    for t, n in [x for x in found.items() if x[1] >= least]:
+        if n >= thin:
+            found[t + "%"] = 1
+            if n >= thick:
+                found[t + "%%"] = 1
+        if n >= 2:
+            found[t + "#2"] = 1
+            if n >= 3:
+                found[t + "#3"] = 1
+                if n >= 5:
+                    found[t + "#5"] = 1
     return found
 
 
@@ -94,7 +119,7 @@ class Index:
     """Labelled examples as TF-IDF vectors in blocks with a largest weight for each term."""
 
     def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], weights: tuple[float, float]) -> None:
-        self.vocabulary, self.idf = vocabulary, idf
+        self.vocabulary, self.idf, self.only = vocabulary, idf, bases(vocabulary)
         of = lambda y: weights[int(y)]
         bare = [float(labels[i]) for i, (at, _) in enumerate(vectors) if not len(at)]
         total, toxic = sum(of(y) for y in bare), sum(of(y) * y for y in bare)
@@ -119,7 +144,7 @@ class Index:
         self.calibrate(kept, vectors)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return weighted(terms(text), self.vocabulary, self.idf)
+        return weighted(terms(text, self.only), self.vocabulary, self.idf)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, by cosine and then position."""
@@ -218,9 +243,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
 def found_terms(vocabulary: dict[str, int]):
     """A column function: the counts of the vocabulary's terms in a text."""
 
+    only = bases(vocabulary)
+
     @F.pandas_udf("map<string,int>")
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([{t: n for t, n in terms(text or "").items() if t in vocabulary} for text in texts], dtype=object)
+        return pd.Series([{t: n for t, n in terms(text or "", only).items() if t in vocabulary} for text in texts], dtype=object)
 
     return find
 
@@ -230,12 +257,14 @@ def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[str, in
     if not vocabulary:
         return np.zeros(0)
 
+    only = bases(vocabulary)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, rows = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for text in batch["_text"]:
                 rows += 1
-                for t in terms(text or "").keys() & vocabulary.keys():
+                for t in terms(text or "", only).keys() & vocabulary.keys():
                     seen[vocabulary[t]] += 1
         yield pd.DataFrame({"at": np.arange(-1, len(vocabulary)), "n": np.concatenate(([rows], seen))})
 
