@@ -80,6 +80,7 @@ def external_shuffle(
     record = F.struct(*[F.col(f"`{c}`") for c in kept])
     scattered = docs.select(bucket_of(group).alias("_bucket"), card.alias("_a"), F.col(key).alias("_b"), record.alias("_r"))
     held = scattered.repartition(parts, "_bucket").groupBy("_bucket").agg(F.collect_list(F.struct("_a", "_b", "_r")).alias("_all"))
+    held = held.sortWithinPartitions("_bucket")  # the generator of a partition deals its buckets in this order, rerun or not
     by_card = lambda x, y: F.when(x["_a"] < y["_a"], -1).when(x["_a"] > y["_a"], 1).when(x["_b"] < y["_b"], -1).when(x["_b"] > y["_b"], 1).otherwise(0)
     dealt = held.select("_bucket", F.shuffle(F.array_sort("_all", by_card), seed).alias("_all")).join(starts, "_bucket")
     dealt = dealt.select("offset", F.posexplode("_all").alias("_at", "_x"))
