@@ -333,7 +333,7 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_docs
     some = docs.join(ids, docs[key].eqNullSafe(ids["_id"]), "left_semi").select(F.col(key).alias("_id"), per_text(learn_rows, "rows array<array<long>>")(F.col(text_col))["rows"].alias("rows"))
     each = some.select("_id", F.posexplode("rows").alias("_at", "row")).orderBy(F.xxhash64(F.lit(SEED), "_id", "_at"), "_id", "_at", "row").limit(max_tokens)
     rows = each.select("row").collect()
-    return Field.learn(np.array([r["row"] for r in rows], np.int64).reshape(len(rows), -1))
+    return Field.learn(np.array([r["row"] for r in rows], np.int64).reshape(len(rows), 4 + len(LABELS)))
 
 
 RESULT = "base array<struct<kind:string,start:int,stop:int>>, added array<struct<kind:string,start:int,stop:int>>"
