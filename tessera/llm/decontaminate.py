@@ -122,7 +122,7 @@ class LengthClass:
                 owners.append(k)
                 offsets.append(at)
         windows = np.stack(windows)
-        self.bits = rng.integers(0, 2, (MAX_REPEATS, self.steps, n_words + 2), np.uint8) if n_words * self.steps * MAX_REPEATS <= 1 << 27 else None
+        self.bits = rng.integers(0, 2, (MAX_REPEATS, self.steps, n_words + 2), np.uint8) if n_words * self.steps * MAX_REPEATS <= 1 << 25 else None
         self.hashes = rng.integers(0, 1 << 63, (MAX_REPEATS, n_words + 2), np.int64)
         self.places = np.sort(np.stack([rng.choice(self.steps, min(SAMPLED, self.steps), replace=False) for _ in range(MAX_REPEATS)]), axis=1)
         self.mix = rng.integers(1, 1 << 62, (MAX_REPEATS, self.places.shape[1]), np.int64) | 1
