@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,9 +51,7 @@ def block_patterns(df: DataFrame, key: str, sizes: tuple[int, ...] = (4, 4, 3, 3
 
     df holds (key, position, n) for each block."""
 
-    def scan(pdf):
-        import pandas as pd
-
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         n, out, at = pdf.sort_values("position")["n"].tolist(), [], 0
         while at + len(sizes) <= len(n):
             if tuple(n[at : at + len(sizes)]) == sizes:
@@ -145,7 +144,6 @@ def localize(pairs: DataFrame, key: str, text: str, reference: str, n: int = 8,
         return {"ranges": [], "coverage": share(chain), "method": "none"}
 
     schema = "struct<ranges:array<struct<start:int,stop:int>>,coverage:double,method:string>"
-    import pandas as pd
 
     @F.pandas_udf(schema)
     def run(t: pd.Series, r: pd.Series) -> pd.DataFrame:
