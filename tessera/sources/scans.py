@@ -54,7 +54,7 @@ def hashed_json_lines(spark: SparkSession, path: str, schema: str, text: str, di
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one file to a row."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def byte_slices(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def tagged_documents(spark: SparkSession, path: str) -> DataFrame:
 def separated_documents(spark: SparkSession, path: str, separator: str = "<|endoftext|>") -> DataFrame:
     """(text): documents that end with the separator alone on a line; a tail without one is an error."""
     line = f"\n{separator}\n"
-    tails = spark.read.option("wholetext", True).text(path).filter(~F.endswith("value", F.lit(line)) & (F.trim("value") != ""))
+    tails = spark.read.text(path, wholetext=True).filter(~F.endswith("value", F.lit(line)) & (F.trim("value") != ""))
     if not tails.isEmpty():
         raise ValueError("a file doesn't end with the separator")
     return spark.read.option("lineSep", line).text(path).select(F.trim("value").alias("text")).filter("text <> ''")

@@ -48,6 +48,7 @@ def test_tagged_and_separated(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/a.txt").write_text("one\ntwo\n<|endoftext|>\nthree\n<|endoftext|>\n")
     assert [r["text"] for r in scans.separated_documents(spark, str(tmp_path / "d")).collect()] == ["one\ntwo", "three"]
+    assert [r["text"].count("\n") for r in scans.whole_texts(spark, str(tmp_path / "d")).collect()] == [5]
     (tmp_path / "d/b.txt").write_text("torn")
     with pytest.raises(ValueError):
         scans.separated_documents(spark, str(tmp_path / "d"))
