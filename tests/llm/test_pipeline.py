@@ -6,7 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from tessera.llm import decontaminate as dc
 
-from .test_near import plain_components, plain_print, plain_search
+from .test_near import plain_components, plain_print
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +37,7 @@ def test_near_stage(stages):
 
 def test_decontamination_stage(spark, stages):
     items = [dc.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    clean = {r["doc_id"] for r in stages[2].collect() if not any(plain_search(i, dc.words_of(r["text"])) <= dc.allowed(len(i)) for i in items)}
+    clean = {r["doc_id"] for r in stages[2].collect() if not any(dc.best_end(i, dc.words_of(r["text"]))[0] <= dc.allowed(len(i)) for i in items)}
     kept = {r["doc_id"] for r in stages[3].collect()}
     assert clean <= kept and len(kept - clean) <= 0.02 * max(1, stages[2].count() - len(clean))
 
