@@ -203,3 +203,21 @@ def nearest_reference(generated: DataFrame, references: DataFrame, key: str, ref
     top = top.withColumn("_r", F.row_number().over(one)).filter("_r = 1").select(key, ref_key, "containment", "common")
     out = generated.select(key).join(top, key, "left").withColumn("containment", F.coalesce("containment", F.lit(0.0)))
     return out.withColumn("common_at_most", F.coalesce("common", F.lit(n - 1))).withColumn("risk", risk_band(F.col("containment"), F.col("common")))
+
+
+def exact_matches(left: DataFrame, right: DataFrame, key: str, other: str, text: str) -> DataFrame:
+    """(key, other): rows of two corpora whose loose words are the same, by the digest of the words."""
+    digest = lambda df, k: df.select(k, T.words_hash(T.loose_words(F.col(text))).alias("_fp"))
+    return digest(left, key).join(digest(right, other), "_fp").select(key, other)
+
+
+def reference_overlap(words: Column, reference: Column, n: int = SHINGLE) -> Column:
+    """(containment, jaccard, exact) of a text's word n-grams in a reference's."""
+    a, b = T.word_grams(words, n), T.word_grams(reference, n)
+    return F.struct(T.containment(a, b).alias("containment"), T.jaccard(a, b).alias("jaccard"), (words == reference).alias("exact"))
+
+
+def provenance_winner(df: DataFrame, fingerprint: str, role: str, rank: str, key: str) -> DataFrame:
+    """df with `winner` of each group of copies, by rank then id, and `crosses_roles`: such groups are for review, not for dropping."""
+    best = df.groupBy(fingerprint).agg(F.min_by(key, F.struct(rank, key)).alias("winner"), (F.count_distinct(role) > 1).alias("crosses_roles"))
+    return df.join(best, fingerprint)

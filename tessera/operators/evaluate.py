@@ -195,3 +195,18 @@ def representation(df: DataFrame, group: str, vector: str) -> DataFrame:
         return pd.DataFrame([(pdf[group].iloc[0], effective_rank(np.array(pdf[vector].tolist(), float)), len(pdf))], columns=[group, "effective_rank", "rows"])
 
     return df.select(group, vector).groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, effective_rank double, rows long")
+
+
+def grid(*axes: DataFrame) -> DataFrame:
+    """Every combination of small axes, such as prompts, recipes and seeds; all but the first are broadcast, so they must be short."""
+    out = axes[0]
+    for axis in axes[1:]:
+        out = out.crossJoin(F.broadcast(axis))
+    return out
+
+
+def judged_votes(votes: DataFrame, public: DataFrame, private: DataFrame, pair: str) -> DataFrame:
+    """votes with their public pair and its private mapping; a vote without either is an error."""
+    held = votes.join(public.withColumn("_pub", F.lit(1)), pair, "left").join(private.withColumn("_priv", F.lit(1)), pair, "left")
+    whole = F.assert_true(F.col("_pub").isNotNull() & F.col("_priv").isNotNull(), F.lit("a vote has no pair")).isNull()
+    return held.filter(whole).drop("_pub", "_priv")

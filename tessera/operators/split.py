@@ -204,3 +204,28 @@ def interleave(df: DataFrame, component: str, order: str) -> DataFrame:
     by = W.partitionBy(component)
     at = (F.row_number().over(by.orderBy(order)) - 0.5) / F.count("*").over(by)
     return df.withColumn("place", at).orderBy("place", component)
+
+
+def replay_sample(df: DataFrame, order: str, text: str, chunks: int, chunk_chars: int) -> DataFrame:
+    """Lines of evenly spaced windows over a corpus laid end to end: rows whose start lies in one of the windows.
+
+    df holds one line to a row; the line that a window begins inside is left to the one before."""
+    size = F.length(text) + 1
+    total = df.agg(F.sum(size)).first()[0] or 0
+    start = F.coalesce(F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    stride = max(1, (total - chunk_chars) // max(1, chunks - 1))
+    placed = df.withColumn("_start", start).withColumn("window", F.least(F.floor(F.col("_start") / stride), F.lit(chunks - 1)))
+    return placed.filter(F.col("_start") - F.col("window") * stride < chunk_chars).drop("_start")
+
+
+def probe_cycles(df: DataFrame, key: str, n: str, count: int, minimum: int, span: int, seed: str) -> DataFrame:
+    """(key, offset, cycle): one excerpt of each document in turn, documents and their offsets in hash order, until `count`.
+
+    A sampling operator: too few excerpts are an error."""
+    starts = F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - minimum, F.lit(span).cast("long"))
+    each = df.filter(F.col(n) >= minimum).select(key, F.explode(starts).alias("offset"))
+    salted = hash_order(seed, F.concat(F.col(key).cast("string"), F.lit(":"), F.col("offset").cast("string")))
+    cycle = F.row_number().over(W.partitionBy(key).orderBy(salted, "offset")) - 1
+    held = each.withColumn("cycle", cycle).orderBy("cycle", hash_order(seed, F.col(key)), key).limit(count)
+    enough = held.agg(F.count("*").alias("_n"))
+    return held.crossJoin(F.broadcast(enough)).filter(F.assert_true(F.col("_n") == count, F.lit("too few excerpts")).isNull()).drop("_n")

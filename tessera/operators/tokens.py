@@ -274,3 +274,34 @@ def bounded_shards(df: DataFrame, order: str, size: str, limit: int) -> DataFram
 
     placed = df.select(order, size).groupBy().applyInPandas(fold, f"_k {kinds[order]}, shard int, start long, stop long")
     return df.join(placed, F.col(order) == F.col("_k")).drop("_k")
+
+
+def character_ids(text: Column, vocabulary: dict[str, int]) -> Column:
+    """Ids of a text's characters; null for characters outside the vocabulary."""
+    table = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: table[c])
+
+
+def dataset(df: DataFrame, text: str, encode, fraction: float) -> DataFrame:
+    """df with train and validation token arrays; each document keeps its tail for validation."""
+    from tessera.operators.split import tail_tokens
+
+    return df.withColumn("tokens", encode(F.col(text))).withColumn("parts", tail_tokens(F.col("tokens"), fraction)).filter("parts is not null").select("*", "parts.train", "parts.validation").drop("parts", "tokens")
+
+
+def dataset_report(df: DataFrame, by: str) -> DataFrame:
+    """Documents and tokens of each part."""
+    return df.groupBy(by).agg(F.count("*").alias("documents"), F.sum(F.size("train")).alias("train_tokens"), F.sum(F.size("validation")).alias("validation_tokens"))
+
+
+def register(spark, name: str, pairs: BytePairs) -> None:
+    """Makes an encoder callable from SQL."""
+    spark.udf.register(name, pairs.udf())
+
+
+def stream_text(df: DataFrame, order: str, text: str, separator: str, most: int = 10_000) -> str:
+    """A small corpus as one text; more rows than `most` are an error."""
+    rows = df.select(order, text).orderBy(order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return separator.join(r[text] for r in rows)
