@@ -48,8 +48,9 @@ def winner(df: DataFrame, group: Column, *order: Column) -> DataFrame:
 
 
 def shingles(df: DataFrame, key: str, words: Column, n: int = SHINGLE) -> DataFrame:
-    """(key, gram): the distinct word n-grams of each row."""
-    return df.select(key, F.explode(T.distinct_grams(T.word_grams(words, n))).alias("gram"))
+    """(key, gram): the distinct word n-grams of each row as 64-bit hashes: 8 bytes to move and compare instead of eight words."""
+    hashed = lambda grams: F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    return df.select(key, F.explode(hashed(T.word_grams(words, n))).alias("gram"))
 
 
 def candidates(left: DataFrame, right: DataFrame | None = None, key: str = "doc_id", least: int = MIN_SHARED, share: float = MIN_SHARE, most: int = MAX_POSTING) -> DataFrame:

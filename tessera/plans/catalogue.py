@@ -243,7 +243,7 @@ def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(f"with {GRAMS} select a, b, shared from near")
 def doc_near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.candidates(_grams(spark, sf_dir))
+    return dedup.candidates(dedup.checkpointed(_grams(spark, sf_dir)))
 
 
 @named(f"with {PAIRS} select a, b, round(a_in_b, 9) as a_in_b, round(b_in_a, 9) as b_in_a from pairs")
