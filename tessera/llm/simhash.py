@@ -22,7 +22,7 @@ the least id, nulls last, ties by a hash of the text, one of identical rows, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,40 +71,47 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", into: str = "finge
 
 
 class BKTree:
-    """Integers under Hamming distance; a child hangs at its distance to the parent."""
+    """Integers under Hamming distance; a child hangs at its distance to the parent.
 
-    def __init__(self) -> None:
+    top names the component of a member. A subtree whose members were all in one component when they came
+    stays so, as components only merge; a lookup leaves such a subtree out once its value belongs to that
+    component. So a large group of near copies costs a few visits for each of them, not one for each pair."""
+
+    def __init__(self, top: Callable[[int], int]) -> None:
+        self.top = top
+        self.members: list[int] = []
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.uniform: list[bool] = []
 
-    def near_then_add(self, value: int, radius: int) -> list[int]:
-        """Positions of earlier values within the radius; value is added after them."""
-        found: list[int] = []
-        if not self.values:
-            self.values.append(value)
-            self.children.append({})
-            return found
-        values, children, stack = self.values, self.children, [0]
+    def add(self, member: int, value: int, radius: int, tie: Callable[[int, int], None]) -> None:
+        """Ties the member to earlier ones within the radius, unless they are connected already, and hangs it in."""
+        members, values, children, uniform, top = self.members, self.values, self.children, self.uniform, self.top
+        stack = [0] if values else []
         while stack:
             at = stack.pop()
+            if uniform[at] and top(members[at]) == top(member):
+                continue
             d = (values[at] ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                tie(members[at], member)
             under = children[at]
             if len(under) > 2 * radius + 1:
                 stack.extend(under[k] for k in range(d - radius, d + radius + 1) if k in under)
             else:
                 stack.extend(c for k, c in under.items() if -radius <= k - d <= radius)
-        at = 0
-        while True:
+        new, own, at = len(values), top(member), 0
+        while new:
+            uniform[at] = uniform[at] and top(members[at]) == own
             d = (values[at] ^ value).bit_count()
             if d not in children[at]:
+                children[at][d] = new
                 break
             at = children[at][d]
-        children[at][d] = len(values)
+        members.append(member)
         values.append(value)
         children.append({})
-        return found
+        uniform.append(True)
 
 
 def bands(n_bands: int, bits: list[int] | None = None) -> list[int]:
@@ -132,10 +139,9 @@ def forest(values: list[int], radius: int, shard_size: int, outside: list[int] |
 
     def grow(members: list[int], free: list[int]) -> None:
         if len(members) <= shard_size or len(free) <= radius:
-            tree = BKTree()
+            tree = BKTree(top)
             for member in members:
-                for other in tree.near_then_add(values[member], radius):
-                    tie(members[other], member)
+                tree.add(member, values[member], radius, tie)
             return
         for mask in bands(radius + 1, free):
             parts: dict[int, list[int]] = {}
@@ -143,7 +149,7 @@ def forest(values: list[int], radius: int, shard_size: int, outside: list[int] |
                 parts.setdefault(values[member] & mask, []).append(member)
             rest = [b for b in free if not mask >> b & 1]
             for part in parts.values():
-                if len(part) > 1:
+                if len({top(m) for m in part}) > 1:
                     grow(part, rest)
 
     grow(list(range(len(values))), list(range(BITS)) if outside is None else outside)
