@@ -70,6 +70,17 @@ def test_forest_connects_what_links_connect():
         assert groups(lambda i: find(values[i])) == groups(lambda i: want[i])
 
 
+def test_a_hot_shard_is_spanned():
+    """Thousands of fingerprints within the radius of one, above and below the size at which a shard is cut."""
+    rng = random.Random(1)
+    centre, values = rng.getrandbits(64), set()
+    while len(values) < 3_000:
+        values.add(centre ^ sum(1 << b for b in rng.sample(range(13, 64), rng.randrange(5))))
+    values = sorted(values | {centre})
+    for shard_size in (500, 20_000):
+        assert len(simhash.forest(values, 4, shard_size)) == len(values) - 1
+
+
 def test_a_large_group_of_near_copies_gives_few_links(spark):
     rng = random.Random(5)
     prints = {0}
