@@ -40,9 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whole texts can be long, so few of them go to a Python worker at once.
+ROWS_PER_BATCH = 1_000
+
+
+def bounded_batches() -> None:
+    """Lowers the session's rows to an Arrow batch to ROWS_PER_BATCH, if it allows more."""
+    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def per_text(fn: Callable[[str], Sequence], schema: str) -> Callable[[Column], Column]:
     """A column function that gives each text (null: empty) to fn and returns a struct of its results."""
     names = [part.split()[0].strip(":") for part in _top_level(schema)]
+    bounded_batches()
 
     @F.pandas_udf(schema)
     def apply(texts: pd.Series) -> pd.DataFrame:

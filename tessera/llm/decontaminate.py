@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import table
+from tessera.llm._common import bounded_batches, table
 
 TOKEN = re.compile(r"[^\W_]+")
 LEAST_WORDS = 5
@@ -45,7 +45,7 @@ SAMPLED = 3
 MIN_REPEATS, MAX_REPEATS = 8, 40
 LARGEST_WINDOW = 512
 INDEX_WORDS = 2_000_000
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 SEED = 99
 HITS = "array<struct<item:long,edits:int,item_words:int,start:int,stop:int>>"
 
@@ -263,6 +263,7 @@ class Index:
 
 def searcher(index: Index):
     """The index as a column function of texts."""
+    bounded_batches()
 
     @F.pandas_udf(HITS)
     def search(texts: pd.Series) -> pd.Series:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WHITE, table
+from tessera.llm._common import WHITE, bounded_batches, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 FOLDS, HELD_OUT = 4, 2
@@ -206,6 +206,7 @@ def matrix(texts) -> np.ndarray:
 
 def measured(text: Column) -> Column:
     """The features of a text column."""
+    bounded_batches()
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
@@ -231,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text", into: str = "quality_score") -> DataFrame:
     """docs with the score in the column `into` (an own column of that name is replaced)."""
+    bounded_batches()
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import cut, table
+from tessera.llm._common import bounded_batches, cut, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LEVEL = re.compile(r"(%%?|#[0-9])$")
@@ -203,6 +203,7 @@ def weighted(found: dict[str, int], vocabulary: dict[str, int], idf: np.ndarray)
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
     """The index of a bounded sample of the training fold's labelled rows, with IDF over all docs."""
+    bounded_batches()
     usable = labels.select(F.col(key).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1))
     usable = usable.filter(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(FOLDS)) != HELD_OUT)
     of = {r[0]: r[1] for r in usable.groupBy("_toxic").count().collect()}
@@ -281,6 +282,7 @@ def with_toxicity(docs: DataFrame, index: Index, text_col: str = "text", into: s
 
 def scorer(index: Index):
     """The index as a column function of texts."""
+    bounded_batches()
 
     @F.pandas_udf(SCORED)
     def score(texts: pd.Series) -> pd.DataFrame:
