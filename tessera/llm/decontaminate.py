@@ -6,7 +6,9 @@ and, at each step, moves on or stays by a random bit of the step and the word it
 windows a few edits apart soon walk in step again, so their embeddings differ in few places
 (Hamming). Sampling a few places of the embedding gives a bucket key, and enough repetitions with
 other random bits reach the target recall. How many that takes is measured when the index is built, on windows of
-the items themselves with edits planted at the limit.
+the items themselves with edits planted at the limit. A class that misses the target at `MAX_REPEATS` (long items do: the
+walks drift apart) is not walked but searched exactly: an edit breaks at most q of an item's word q-grams, so a stretch within
+the limit still holds a known number of them, and every stretch that does is verified.
 
 Items are put into length classes, and each class has windows of its size at every word of every
 document. Before a window is embedded, its words are counted against the words of the class's items:
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -43,6 +45,8 @@ EDIT_SHARE = 0.2
 TARGET_RECALL = 0.98
 SAMPLED = 3
 MIN_REPEATS, MAX_REPEATS = 8, 40
+#: Longest grams of the exact search, and how many (place, item) rows it holds at once, but for a single document's.
+LONGEST_GRAM, GRAM_ROWS = 4, 1_000_000
 LARGEST_WINDOW = 512
 INDEX_WORDS = 2_000_000
 CHUNK_WORDS = 500_000
@@ -135,6 +139,26 @@ class LengthClass:
             self.tables.append((keys[order], np.array(owners)[order], np.array(offsets)[order]))
         if self.bits is not None:
             self.bits = self.bits[: self.repeats].copy()
+        if not self.repeats:
+            self.index_grams(rng)
+
+    def index_grams(self, rng: np.random.Generator) -> None:
+        """For the exact search: the distinct word grams of each item, and how many of them its edit limit leaves."""
+        sizes = np.array([len(i) for i in self.items])
+        limits = np.array([allowed(n) for n in sizes.tolist()])
+        self.gram = q = min(LONGEST_GRAM, int((sizes // (limits + 1)).min()))
+        self.left = sizes - q + 1 - q * limits  # at least 1, as q pieces of limit + 1 fit the item
+        self.reach = sizes + limits
+        self.gram_mix = rng.integers(1, 1 << 62, q, np.int64) | 1
+        keys = [np.unique(self.gram_keys(i)) for i in self.items]
+        owners, keys = np.repeat(np.arange(len(keys)), list(map(len, keys))), np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        self.posted = keys[order], owners[order]
+
+    def gram_keys(self, ids: np.ndarray) -> np.ndarray:
+        """A hash of the gram at each place; equal hashes of unlike grams only cost a verification."""
+        n = len(ids) - self.gram + 1
+        return sum(self.symbol[ids[j : j + n]] * self.gram_mix[j] for j in range(self.gram))
 
     def keys(self, windows: np.ndarray, r: int) -> np.ndarray:
         """The bucket keys of the windows in repetition r: the sampled places of their CGK embeddings."""
@@ -158,7 +182,7 @@ class LengthClass:
         return key
 
     def measured(self, windows: np.ndarray, rng: np.random.Generator) -> int:
-        """Repetitions that reach the target recall on windows with edits planted at the limit."""
+        """Repetitions that reach the target recall on windows with edits planted at the limit; 0 if MAX_REPEATS miss it."""
         some = windows[rng.integers(0, len(windows), 200)]
         edits = max(1, allowed(self.size))
         changed = np.empty_like(some)
@@ -178,7 +202,7 @@ class LengthClass:
             missed &= self.keys(some, r) != self.keys(changed, r)
             if r + 1 >= MIN_REPEATS and missed.mean() <= 1 - TARGET_RECALL:
                 return r + 1
-        return MAX_REPEATS
+        return 0
 
     def candidates(self, ids: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
         """(document, item, start of the item) for windows whose bucket holds an item."""
@@ -203,6 +227,52 @@ class LengthClass:
                 found.append(np.stack((doc_of[part[which]], owners[entry], part[which] - offsets[entry]), axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
+    def walked(self, ids: np.ndarray, doc_of: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, low, high): the stretches of documents around what the buckets give."""
+        done: dict[tuple[int, int], int] = {}
+        for d, k, start in self.candidates(ids, doc_of).tolist():
+            limit = allowed(len(self.items[k]))
+            at = start - int(first[d])
+            if at - limit < done.get((d, k), -1 << 40):  # inside what was verified, but for its last part
+                continue
+            yield d, k, max(0, at - limit - 2), at + len(self.items[k]) + 3 * limit + 8
+            done[d, k] = at + limit + 4
+
+    def counted(self, ids: np.ndarray, doc_of: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, low, high): every stretch that holds as many of an item's grams as its edit limit leaves.
+
+        Such grams of a match lie at places within its reach, so a match lies between the reach before the last of them and
+        the reach behind the first. Stretches of an item that overlap come as one."""
+        q, (posted, owners) = self.gram, self.posted
+        if len(ids) < q:
+            return
+        got = self.gram_keys(ids)
+        from_, to = np.searchsorted(posted, got, "left"), np.searchsorted(posted, got, "right")
+        hit = np.flatnonzero((to > from_) & (doc_of[q - 1 :] == doc_of[: len(got)]))
+        counts, docs = (to - from_)[hit], doc_of[hit]
+        total, a = np.cumsum(counts), 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - counts[a] + GRAM_ROWS, "right")))
+            b = int(np.searchsorted(docs, docs[b - 1], "right"))  # whole documents
+            n = counts[a:b]
+            item = owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(from_[hit[a:b]], n)]
+            place = np.repeat(hit[a:b], n)
+            order = np.argsort(item, kind="stable")
+            item, place = item[order], place[order]
+            last = np.arange(len(item)) + self.left[item] - 1
+            enough = last < len(item)
+            last = np.minimum(last, len(item) - 1)
+            doc = doc_of[place]
+            enough &= (item[last] == item) & (doc[last] == doc) & (place[last] + q - place <= self.reach[item])
+            k, d, low, high = item[enough], doc[enough], (place[last] + q - self.reach[item])[enough], (place + self.reach[item])[enough]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (low[1:] > high[:-1])
+            begins = np.flatnonzero(new)
+            ends = np.append(begins, len(k))[1:] - 1
+            at = first[d[begins]]
+            yield from zip(d[begins].tolist(), k[begins].tolist(), np.maximum(0, low[begins] - at).tolist(), (high[ends] - at).tolist(), strict=True)
+            a = b
+
 
 class Index:
     """Embedded windows of benchmark items, and the search of texts for them."""
@@ -241,19 +311,11 @@ class Index:
         first = np.cumsum(lengths) - lengths
         doc_of = np.repeat(np.arange(len(chunk)), lengths)
         for held in self.classes:
-            found = held.candidates(ids, doc_of)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            done: dict[tuple[int, int], int] = {}
-            for d, k, start in found.tolist():
+            for d, k, low, high in (held.walked if held.repeats else held.counted)(ids, doc_of, first):
                 item = held.items[k]
-                limit = allowed(len(item))
-                at = start - int(first[d])
-                if at - limit < done.get((d, k), -1 << 40):  # inside what was verified, but for its last part
-                    continue
-                low, high = max(0, at - limit - 2), at + len(item) + 3 * limit + 8
                 edits, a, b = nearest(item.tolist(), chunk[d][1][low:high].tolist())
-                done[d, k] = at + limit + 4
-                if edits <= limit and (edits, low + a) < best.get((d, k), (1 << 30, 0, 0))[:2]:
+                if edits <= allowed(len(item)) and (edits, low + a) < best.get((d, k), (1 << 30, 0, 0))[:2]:
                     best[d, k] = (edits, low + a, low + b)
             for (d, k), (edits, a, b) in best.items():
                 n = chunk[d][0]
