@@ -118,6 +118,8 @@ class LengthClass:
         for item in items:
             self.known[item] = 1
         self.least = max(1, size - allowed(max(map(len, items))))
+        longest = max(map(len, items))
+        self.padding = allowed(longest) + longest - size
         self.steps = 7 * size // 4  # the walk is inside the window for about twice its size; later places say nothing
         windows, owners, offsets = [], [], []
         for k, item in enumerate(items):
@@ -302,12 +304,12 @@ class Index:
         return out
 
     def _search(self, chunk: list[tuple[int, np.ndarray]], texts: Sequence[str | None], out: list[list[dict]]) -> None:
-        """Adds what the chunk's texts hold. Between texts lie a few unknown words, so a shortened item at an end fits a window."""
+        """Adds what the chunk's texts hold. Between texts lie so many unknown words that an item at an end fits a window of its class with all deletions it may have."""
         if not chunk or not self.classes:
             return
-        pads = [min(16, 4 + len(ids) // 4) for _, ids in chunk]
-        ids = np.concatenate([np.concatenate((i, np.zeros(p, np.int32))) for (_, i), p in zip(chunk, pads, strict=True)])
-        lengths = np.array([len(i) + p for (_, i), p in zip(chunk, pads, strict=True)])
+        pad = np.zeros(max((c.padding for c in self.classes if c.repeats), default=0), np.int32)
+        ids = np.concatenate([x for _, i in chunk for x in (i, pad)])
+        lengths = np.array([len(i) + len(pad) for _, i in chunk])
         first = np.cumsum(lengths) - lengths
         doc_of = np.repeat(np.arange(len(chunk)), lengths)
         for held in self.classes:

@@ -22,3 +22,25 @@ def test_items_of_100_to_600_words_at_the_full_limit():
         texts.append(" ".join([*draw(rng.randrange(200)), *held, *draw(rng.randrange(200))]))
     found = dc.Index([(i, " ".join(x)) for i, x in items]).search(texts)
     assert [[h["item"] for h in hits] for hits in found] == [[i] for i, _ in items]
+
+
+def test_documents_that_are_an_item_with_words_dropped():
+    rng, draw = drawer(5)
+    items = [(i, draw(n)) for i, n in enumerate([50, 100, 188, 512])]
+    dropped = {50: (10,), 100: (20,), 188: (17, 37), 512: (17, 102)}
+    texts, want = [], []
+    for i, item in items:
+        for n in dropped[len(item)]:
+            gone = set(rng.sample(range(len(item)), n))
+            texts.append(" ".join(w for at, w in enumerate(item) if at not in gone))
+            want.append(i)
+    found = dc.Index([(i, " ".join(x)) for i, x in items]).search(texts)
+    assert [[h["item"] for h in hits] for hits in found] == [[i] for i in want]
+
+
+def test_a_walked_class_pads_for_all_its_deletions():
+    """One word repeated: the walk meets the target at any length, so the padding alone decides."""
+    for n, gone in ((100, 20), (188, 17), (512, 17)):
+        index = dc.Index([(1, "same " * n)])
+        assert index.classes[0].repeats
+        assert [h["item"] for h in index.search(["same " * (n - gone)])[0]] == [1]
