@@ -49,6 +49,8 @@ MIN_REPEATS, MAX_REPEATS = 8, 40
 LONGEST_GRAM, GRAM_ROWS = 4, 1_000_000
 LARGEST_WINDOW = 512
 INDEX_WORDS = 2_000_000
+#: Windows whose words are held at once.
+WINDOW_ROWS = 50_000
 CHUNK_WORDS = 500_000
 SEED = 99
 HITS = "array<struct<item:long,edits:int,item_words:int,start:int,stop:int>>"
@@ -121,24 +123,24 @@ class LengthClass:
         longest = max(map(len, items))
         self.padding = allowed(longest) + longest - size
         self.steps = 7 * size // 4  # the walk is inside the window for about twice its size; later places say nothing
-        windows, owners, offsets = [], [], []
-        for k, item in enumerate(items):
-            for at in range(min(len(item) - size + 1, 64)):
-                windows.append(item[at : at + size])
-                owners.append(k)
-                offsets.append(at)
-        windows = np.stack(windows)
+        # Every window of every item; their words are looked up a block at a time.
+        words, held = np.concatenate(items), np.array([len(i) for i in items])
+        n_windows = held - size + 1
+        owners = np.repeat(np.arange(len(items)), n_windows)
+        offsets = np.arange(len(owners)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        at = (np.cumsum(held) - held)[owners] + offsets
+        windows = lambda some: words[some[:, None] + np.arange(size)]
         self.bits = rng.integers(0, 2, (MAX_REPEATS, self.steps, n_words + 2), np.uint8) if n_words * self.steps * MAX_REPEATS <= 1 << 25 else None
         self.hashes = rng.integers(0, 1 << 63, (MAX_REPEATS, n_words + 2), np.int64)
         self.places = np.sort(np.stack([rng.choice(self.steps, min(SAMPLED, self.steps), replace=False) for _ in range(MAX_REPEATS)]), axis=1)
         self.mix = rng.integers(1, 1 << 62, (MAX_REPEATS, self.places.shape[1]), np.int64) | 1
         self.symbol = rng.integers(0, 1 << 62, n_words + 3, np.int64)
-        self.repeats = self.measured(windows, rng)
+        self.repeats = self.measured(windows(at[rng.integers(0, len(at), 200)]), rng)
         self.tables = []
         for r in range(self.repeats):
-            keys = self.keys(windows, r)
+            keys = np.concatenate([self.keys(windows(at[a : a + WINDOW_ROWS]), r) for a in range(0, len(at), WINDOW_ROWS)])
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], np.array(owners)[order], np.array(offsets)[order]))
+            self.tables.append((keys[order], owners[order], offsets[order]))
         if self.bits is not None:
             self.bits = self.bits[: self.repeats].copy()
         if not self.repeats:
@@ -183,9 +185,8 @@ class LengthClass:
             at += (move != 0) & (here != end)
         return key
 
-    def measured(self, windows: np.ndarray, rng: np.random.Generator) -> int:
-        """Repetitions that reach the target recall on windows with edits planted at the limit; 0 if MAX_REPEATS miss it."""
-        some = windows[rng.integers(0, len(windows), 200)]
+    def measured(self, some: np.ndarray, rng: np.random.Generator) -> int:
+        """Repetitions that reach the target recall on some windows with edits planted at the limit; 0 if MAX_REPEATS miss it."""
         edits = max(1, allowed(self.size))
         changed = np.empty_like(some)
         for k, w in enumerate(some):
@@ -214,8 +215,8 @@ class LengthClass:
         sums = np.concatenate(([0], np.cumsum(self.known[ids], dtype=np.int32)))
         starts = np.flatnonzero((sums[size:] - sums[:-size] >= self.least) & (doc_of[size - 1 :] == doc_of[: len(ids) - size + 1]))
         found = []
-        for a in range(0, len(starts), 50_000):
-            part = starts[a : a + 50_000]
+        for a in range(0, len(starts), WINDOW_ROWS):
+            part = starts[a : a + WINDOW_ROWS]
             windows = ids[part[:, None] + np.arange(size)]
             for r, (keys, owners, offsets) in enumerate(self.tables):
                 got = self.keys(windows, r)

@@ -44,3 +44,28 @@ def test_a_walked_class_pads_for_all_its_deletions():
         index = dc.Index([(1, "same " * n)])
         assert index.classes[0].repeats
         assert [h["item"] for h in index.search(["same " * (n - gone)])[0]] == [1]
+
+
+def test_the_later_part_of_a_long_item():
+    """The first fifth of 2,000 words is rewritten or dropped, the rest is verbatim."""
+    rng, draw = drawer(6)
+    item = draw(2_000)
+    index = dc.Index([(1, " ".join(item))])
+    for head in (["other"] * 400, []):
+        (hits,) = index.search([" ".join([*draw(50), *head, *item[400:], *draw(50)])])
+        assert [h["item"] for h in hits] == [1] and 380 <= hits[0]["edits"] <= 400
+
+
+def test_a_walked_class_indexes_every_offset():
+    words = ["same"] * 2_000
+    index = dc.Index([(1, " ".join(words))])
+    (held,) = index.classes
+    assert held.repeats and all(sorted(offsets.tolist()) == list(range(len(words) - held.size + 1)) for _, _, offsets in held.tables)
+
+
+def test_the_exact_search_of_texts_that_hold_some_grams_but_no_item():
+    rng, draw = drawer(7)
+    item = draw(300)
+    index = dc.Index([(1, " ".join(item))])
+    assert not index.classes[0].repeats
+    assert index.search([" ".join(item[:60]), "", None, "word"]) == [[], [], [], []]
