@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,11 +16,17 @@ SHINGLE, MIN_CONTAINMENT = 8, 0.8
 MIN_POSTING, MAX_POSTING, MIN_SHARED, MIN_SHARE = 2, 40, 2, 0.4
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the cluster names in spark.checkpoint.dir (its own where there is none)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir (its own where there is none)."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -72,18 +79,78 @@ def candidates(left: DataFrame, right: DataFrame | None = None, key: str = "doc_
     return held.filter(F.col("shared") / F.least("_na", "_nb") >= share).select("a", "b", "shared")
 
 
-def contained_pairs(pairs: DataFrame, grams: DataFrame, key: str = "doc_id", least: float = MIN_CONTAINMENT) -> DataFrame:
-    """(a, b, a_in_b, b_in_a): exact containment of the grams of both sides; pairs whose larger one reaches `least`.
+def contained_pairs(pairs: DataFrame, grams: DataFrame, key: str = "doc_id", least: float = MIN_CONTAINMENT, fewest: int = 1) -> DataFrame:
+    """(a, b, a_in_b, b_in_a): exact containment of the grams of both sides; pairs whose larger one reaches `least`, with `fewest` grams shared.
 
     Only ids and grams move: the shared grams of a pair are counted by joins."""
     sizes = grams.groupBy(key).agg(F.count("*").alias("n"))
     shared = pairs.select("a", "b").join(grams.select(F.col(key).alias("a"), "gram"), "a")
     shared = shared.join(grams.select(F.col(key).alias("b"), "gram"), ["b", "gram"]).groupBy("a", "b").agg(F.count("*").alias("_shared"))
-    held = shared.join(sizes.select(F.col(key).alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("_nb")), "b")
+    held = shared.filter(F.col("_shared") >= fewest).join(sizes.select(F.col(key).alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("n").alias("_nb")), "b")
     held = held.select("a", "b", (F.col("_shared") / F.col("_na")).alias("a_in_b"), (F.col("_shared") / F.col("_nb")).alias("b_in_a"))
     return held.filter(F.greatest("a_in_b", "b_in_a") >= least)
 
 
+def prefixes(grams: DataFrame, key: str = "doc_id", least: float = MIN_CONTAINMENT) -> DataFrame:
+    """(key, gram): the rarest grams of each row, so many that a row holding `least` of its grams holds one of these (prefix filtering)."""
+    posted = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    per, rarest = W.partitionBy(key), W.partitionBy(key).orderBy("_n", "gram")
+    ranked = grams.join(posted, "gram").withColumn("_at", F.row_number().over(rarest)).withColumn("_size", F.count("*").over(per))
+    return ranked.filter((F.col("_at") <= F.col("_size") - F.ceil(F.col("_size") * least - 1e-9) + 1) & (F.col("_n") > 1)).select(key, "gram")
+
+
+def one_of_each(docs: DataFrame, words: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows with grams as (key, rep), the least key with the same words; and the (key, gram) of those least keys only."""
+    hashed = F.array_distinct(F.transform(T.word_grams(F.col("_ws"), SHINGLE), lambda g: F.xxhash64(g)))
+    marked = docs.select(key, words.alias("_ws")).select(key, T.words_hash(F.col("_ws")).alias("_fp"), hashed.alias("_grams"))
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
+    marked.write.parquet(path)  # the texts are read and cut once, and arrays take less room than a row for each gram
+    marked = spark.read.schema(marked.schema).parquet(path).filter(F.size("_grams") > 0)
+    copies = checkpointed(marked.select(key, "_fp").join(marked.groupBy("_fp").agg(F.min(key).alias("rep")), "_fp").select(key, "rep"))
+    kept = marked.join(copies.filter(F.col(key) == F.col("rep")).select(key), key, "left_semi")
+    return copies, kept.select(key, F.explode("_grams").alias("gram"))
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b) with a < b, each pair once."""
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_pairs(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
+    """(a, b, a_in_b, b_in_a): all pairs with the same words or with containment and MIN_SHARED grams, however many rows hold a gram.
+
+    Distinct texts are compared once; their copies are attached to what was found."""
+    copies, grams = one_of_each(docs, words, key)
+    found = prefixes(grams, key).select(F.col(key).alias("a"), "gram").join(grams.select(F.col(key).alias("b"), "gram"), "gram")
+    near = contained_pairs(ordered_pairs(found), grams, key, fewest=MIN_SHARED)
+    side = lambda n: copies.select(F.col("rep").alias(n), F.col(key).alias(f"_{n}"))
+    near = near.join(side("a"), "a").join(side("b"), "b")
+    turned = F.col("_a") > F.col("_b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), pick("a_in_b", "b_in_a").alias("a_in_b"), pick("b_in_a", "a_in_b").alias("b_in_a"))
+    same = copies.select("rep", F.col(key).alias("a")).join(copies.select("rep", F.col(key).alias("b")), "rep").filter("a < b")
+    return near.unionAll(same.select("a", "b", F.lit(1.0).alias("a_in_b"), F.lit(1.0).alias("b_in_a")))
+
+
+def near_clusters(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
+    """(key, cluster): the clusters over near_pairs, without forming the pairs of a large group.
+
+    Each text is first held against the least one with each of its prefix grams; then only pairs that this left in
+    different clusters are compared."""
+    copies, grams = one_of_each(docs, words, key)
+    head = checkpointed(prefixes(grams, key))
+    stars = head.join(grams.groupBy("gram").agg(F.min(key).alias("b")), "gram").select(F.col(key).alias("a"), "b")
+    linked = checkpointed(contained_pairs(ordered_pairs(stars), grams, key, fewest=MIN_SHARED).select("a", "b"))
+    so_far = checkpointed(clusters(grams.select(key).distinct(), linked, key))
+    a = head.join(so_far, key).select("gram", F.col(key).alias("a"), F.col("cluster").alias("_ca"))
+    b = grams.join(head.select("gram").distinct(), "gram", "left_semi").join(so_far, key).select("gram", F.col(key).alias("b"), F.col("cluster").alias("_cb"))
+    across = a.join(b, (a["gram"] == b["gram"]) & (F.col("_ca") != F.col("_cb"))).select("a", "b")
+    more = contained_pairs(ordered_pairs(across), grams, key, fewest=MIN_SHARED).select("a", "b")
+    same = copies.filter(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"))
+    return clusters(docs, linked.unionAll(more).unionAll(same), key)
+
+
 def clusters(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, cluster): the least id reachable over edges (a, b); single nodes are their own cluster."""
     both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

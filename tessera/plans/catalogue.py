@@ -248,8 +248,8 @@ def doc_near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(f"with {PAIRS} select a, b, round(a_in_b, 9) as a_in_b, round(b_in_a, 9) as b_in_a from pairs")
 def doc_near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = dedup.checkpointed(_grams(spark, sf_dir))
-    held = dedup.contained_pairs(dedup.candidates(grams), grams)
+    """Beyond the SQL, which leaves out words that more than 40 rows hold: all pairs of copies and near copies of large groups."""
+    held = dedup.near_pairs(of(spark, sf_dir, "documents"), T.loose_words(F.col("text")))
     return held.select("a", "b", F.round("a_in_b", 9).alias("a_in_b"), F.round("b_in_a", 9).alias("b_in_a"))
 
 
@@ -258,8 +258,8 @@ e as (select a, b from pairs union all select b, a from pairs),
 r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.reach)
 select doc_id, min(reach) as cluster from r group by 1""")
 def doc_near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = dedup.checkpointed(_grams(spark, sf_dir))
-    return dedup.clusters(of(spark, sf_dir, "documents"), dedup.contained_pairs(dedup.candidates(grams), grams))
+    """Beyond the SQL, as doc_near_dup_pairs."""
+    return dedup.near_clusters(of(spark, sf_dir, "documents"), T.loose_words(F.col("text")))
 
 
 @named("""
