@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.dedup import checkpointed
+
 PRETOKEN = r"(?U)(\S+|\s+)"
 
 
@@ -158,10 +160,54 @@ def merged(symbols: Sequence[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
-def train_byte_pairs(df: DataFrame, text: str, size: int, special: Sequence[str] = (), most: int = 500_000) -> BytePairs:
-    """Byte pairs from the `most` frequent pretokens of a corpus: counted by Spark, merged on the driver."""
-    held = pretoken_counts(df, text).orderBy(F.desc("n"), "pretoken").limit(most).collect()
-    return BytePairs.train([(r["pretoken"], r["n"]) for r in held], size, special)
+def next_merges(counts: dict[tuple[str, str], int], name: dict[str, str], room: int) -> list[tuple[str, str]]:
+    """The next merges, at most `room`, in the order in which one after another would choose them: the pair with the highest
+    count, ties to the least pair.
+
+    More than one only where the first can't change the choice of the next: the next has no symbol of the pairs before
+    it, so its count stays, and a count above all pairs with such symbols, so nothing new reaches it."""
+    live = sorted((p for p, n in counts.items() if n > 0), key=lambda p: (-counts[p], name[p[0]], name[p[1]]))
+    out: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for k, p in enumerate(live[:room]):
+        if used & set(p) or (out and any(counts[o] == counts[p] and used & set(o) for o in live[k + 1 :])):
+            break
+        out.append(p)
+        if p[0] == p[1]:  # a run of one symbol pairs its merges among themselves
+            break
+        used |= set(p)
+    return out
+
+
+def train_byte_pairs(df: DataFrame, text: str, size: int, special: Sequence[str] = ()) -> BytePairs:
+    """Byte pairs from all pretokens of a corpus, as BytePairs.train gives them.
+
+    The pretokens stay distributed, each symbol as one character: a merge replaces two by a character that the corpus
+    doesn't have. To the driver come the alphabet and the pair counts (at most size squared beside the alphabet's), then
+    only their changes."""
+    held = checkpointed(pretoken_counts(df, text).select(F.col("pretoken").alias("symbols"), F.col("n").alias("weight")))
+    base = [r["c"] for r in held.select(F.explode(F.array_distinct(F.split("symbols", ""))).alias("c")).filter("c <> ''").distinct().collect()]
+    name = {c: c for c in base}
+    fresh = (chr(i) for i in range(0xF0000, 0x10FFFE) if chr(i) not in name)
+    pairs = lambda rows: pair_counts(rows.withColumn("symbols", F.split("symbols", "")), "symbols", "weight")
+    counts = Counter({(r["left"], r["right"]): r["n"] for r in pairs(held).collect()})
+    merges: list[tuple[str, str]] = []
+    rounds = 0
+    while (room := size - len(special) - len(base) - len(merges)) > 0 and (best := next_merges(counts, name, room)):
+        new = F.col("symbols")
+        for a, b in best:
+            merges.append((name[a], name[b]))
+            name[c := next(fresh)] = name[a] + name[b]
+            new = F.replace(new, F.lit(a + b), F.lit(c))
+        after = held.withColumn("_new", new)
+        moved = after.filter("_new <> symbols")
+        change = moved.select(F.explode(F.array(F.struct(F.col("_new").alias("symbols"), "weight"), F.struct("symbols", (-F.col("weight")).alias("weight")))).alias("r")).select("r.*")
+        for r in pairs(change).filter("n <> 0").collect():
+            counts[r["left"], r["right"]] += r["n"]
+        held, rounds = after.select(F.col("_new").alias("symbols"), "weight"), rounds + 1
+        if rounds % 8 == 0:
+            held = checkpointed(held)
+    return BytePairs(merges, base, special)
 
 
 def token_total(df: DataFrame, text: str, encode) -> DataFrame:
