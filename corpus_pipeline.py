@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm._common import shared_folder, table
 from tessera.llm.decontaminate import drop_contaminated
-from tessera.llm.mixing import emit, mix_sources
+from tessera.llm.mixing import mixed_rows
 from tessera.llm.sharding import external_shuffle
 from tessera.llm.simhash import keep_representatives
 from tessera.llm.toxicity import drop_toxic
@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return emit(mix_sources(docs))
+    return mixed_rows(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

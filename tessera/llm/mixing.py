@@ -140,6 +140,13 @@ def emit(mixed: DataFrame) -> DataFrame:
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy", *OWN)
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """Each row of docs as often as the mix takes it, all its columns; those with the operator's own names lie under others meanwhile."""
+    kept = {c: f"_kept_{c}" for c in docs.columns if c.lower() in OWN}
+    out = emit(mix_sources(docs.withColumnsRenamed(kept))).withColumnsRenamed({v: k for k, v in kept.items()})
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
