@@ -6,8 +6,8 @@ risk: prior * loss(positives as 1) + max(0, loss(unlabelled as 0) - prior * loss
 When a batch's bracket falls below zero, the step undoes that overfit instead of following it.
 
 The class prior is estimated from the data: a first classifier tells positives from unlabelled, and on
-rows that it hasn't seen the prior is the least ratio, over all thresholds, of the unlabelled share to the
-positive share above the threshold, with a margin for the sample's size. Labels of 0 are never read.
+rows that it hasn't seen the prior is the ratio of the unlabelled share to the positive share above a threshold,
+at the threshold whose upper confidence bound on that ratio is least. Labels of 0 are never read.
 
 Both samples are bounded and chosen by hash of the id (`MAX_POSITIVE`, `MAX_UNLABELLED`); every document
 is scored on its whole text. All randomness is seeded.
@@ -35,6 +35,8 @@ THRESHOLD = 0.7
 HIDDEN = 24
 STEPS, BATCH = 1_500, 512
 DECAY = 1e-4
+#: Chance that the bound which picks the prior's threshold is missed.
+PRIOR_RISK = 0.1
 SEED = 8
 SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 24
@@ -148,7 +150,11 @@ def batches(n: int, size: int, steps: int, rng: np.random.Generator):
 
 
 def class_prior(pos: np.ndarray, unl: np.ndarray, rng: np.random.Generator) -> float:
-    """Share of positives among the unlabelled: the least ratio of tails, on rows the classifier hasn't seen."""
+    """Share of positives among the unlabelled, from rows that the classifier hasn't seen.
+
+    Above any threshold the share of the unlabelled over the share of the positives is the prior plus what negatives
+    add. The threshold is the one with the least upper confidence bound on that ratio, so neither a thin tail (noise)
+    nor a wide one (negatives) is taken; the estimate is the plain ratio there, without the bound's margin."""
     p, u = rng.permutation(len(pos)), rng.permutation(len(unl))
     fit_p, fit_u, new_p, new_u = pos[p[::2]], unl[u[::2]], pos[p[1::2]], unl[u[1::2]]
     if not len(new_p) or not len(new_u):
@@ -160,12 +166,12 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, rng: np.random.Generator) -> f
         ga = net.gradient(a, -sigmoid(-net.odds(a)) / len(a))
         gb = net.gradient(b, sigmoid(net.odds(b)) / len(b))
         net.step([x + y for x, y in zip(ga, gb, strict=True)], 0.01)
-    sp, su = net.odds(net.inputs(new_p)), net.odds(net.inputs(new_u))
-    cuts = np.quantile(sp, np.linspace(0, 0.9, 91))
-    above_p = np.array([(sp >= c).mean() for c in cuts])
-    above_u = np.array([(su >= c).mean() for c in cuts])
-    margin = 0.1 * (np.sqrt(1 / len(sp)) + np.sqrt(1 / len(su)))  # the least of many ratios errs low by about this
-    return float(np.clip(((above_u + margin) / above_p).min(), 0.05, 0.95))
+    sp, su = np.sort(net.odds(net.inputs(new_p))), np.sort(net.odds(net.inputs(new_u)))
+    above_p = 1 - np.searchsorted(sp, sp, "left") / len(sp)
+    above_u = 1 - np.searchsorted(su, sp, "left") / len(su)
+    margin = np.sqrt(np.log(4 / PRIOR_RISK) / 2) * (np.sqrt(1 / len(sp)) + np.sqrt(1 / len(su)))
+    at = int(np.argmin((above_u + margin) / above_p))
+    return float(np.clip(above_u[at] / above_p[at], 0.05, 0.95))
 
 
 class Model:
