@@ -1,10 +1,12 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, slot long, score double, fingerprint string, target double, kept boolean, position long, copies long, hits string, _extra map<string,string>"
+#: Names that an operator may use for columns of its own on the way.
+PRIVATE = ["_id", "_text", "_class", "_rank", "_card", "_tie", "_slice", "_before", "_rate", "_offset", "_hits", "_toxicity", "_copy", "_row", "_key", "_hash", "_bucket", "_at", "_found", "_spans"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, slot long, score double, fingerprint string, target double, kept boolean, position long, copies long, hits string, _extra map<string,string>, " + ", ".join(f"{c} int" for c in PRIVATE)
 
 
 def row(doc_id, text, source="a"):
-    return (doc_id, text, "en", source, len(text or ""), 7, 7, 7, 0.5, "x", 1.0, True, 7, 7, "x", {"k": "v"})
+    return (doc_id, text, "en", source, len(text or ""), 7, 7, 7, 0.5, "x", 1.0, True, 7, 7, "x", {"k": "v"}, *[7] * len(PRIVATE))
 
 
 @pytest.fixture(scope="session")

@@ -112,6 +112,15 @@ def test_class_prior_and_risk():
     assert (model.score(rng.normal(-2, 1, (500, 2))) < 0.5).mean() > 0.95
 
 
+@pytest.mark.parametrize("true", [0.3, 0.6, 0.9])
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_class_prior(true, seed):
+    rng, n = np.random.default_rng(seed), int(6_000 * true)
+    pos = rng.normal(2, 1, (3_000, 2))
+    unl = np.concatenate((rng.normal(2, 1, (n, 2)), rng.normal(-2, 1, (6_000 - n, 2))))
+    assert abs(qc.class_prior(pos, unl, np.random.default_rng(qc.SEED)) - true) < 0.08
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (7, 1, None), (None, 1, 1)], LABELS)
     out = qc.with_quality(odd, qc.train(odd, labels)).collect()
@@ -137,23 +146,72 @@ def plain_rules(t):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "cé", "#|", " ", "  ", "\n", "\t", "\x0b", " ", "\x1c"]), max_size=120).map("".join))
 def test_rule_counts(text):
-    assert qr.measure(text)[:6] == plain_rules(text)
+    assert qr.measure(text, qr.Limits({}, {}))[:6] == plain_rules(text)
+
 
+def prose(rng, n):
+    return " ".join("".join(chr(97 + int(x)) for x in (26 * rng.random(rng.integers(2, 9)) ** 2)) for _ in range(n))
 
-def test_bands():
+
+def test_limits_follow_the_corpus(spark):
+    """Most texts are prose of any length; noise and loops of the same lengths leave the bands, prose doesn't."""
     rng = np.random.default_rng(0)
+    texts = [prose(rng, int(rng.integers(60, 2_000))) for _ in range(300)]
     noise = " ".join("".join(chr(33 + x) for x in rng.integers(0, 90, 9)) for _ in range(400))
-    prose = " ".join("".join(chr(97 + int(x)) for x in (26 * rng.random(rng.integers(2, 9)) ** 2)) for _ in range(900))
     looped = " ".join(f"line {i % 7} of the same seven lines" for i in range(900))
-    assert qr.measure(prose)[6] and not qr.measure(noise)[6] and not qr.measure(looped)[6]
-    half = prose + " " + "x " * 6_000
-    assert not qr.measure(half)[6]
-    assert qr.measure(prose)[7] == pytest.approx(len(zstandard.ZstdCompressor(level=qr.LEVEL).compress(prose.encode())) / len(prose.encode()))
+    half = prose(rng, 900) + " " + " ".join("".join(chr(97 + x) for x in rng.integers(0, 2, 5)) for _ in range(2_000))
+    docs = spark.createDataFrame(list(enumerate([*texts, noise, looped, half])), "doc_id long, text string")
+    got = {r["doc_id"]: r["quality_rules"] for r in qr.with_quality_rules(docs).collect()}
+    assert sum(not got[i]["kept"] for i in range(300)) <= 3
+    assert (got[300]["kept"], got[300]["reason"]) == (False, "incompressible")
+    assert not got[301]["kept"] and not got[302]["kept"] and not got[302]["base_failed"]
+    assert got[0]["ratio"] == pytest.approx(len(zstandard.ZstdCompressor(level=qr.LEVEL).compress(texts[0].encode())) / len(texts[0].encode()))
+
+
+def plain_limits(pairs):
+    """Limits of each class from (bytes, packed bytes) by sorting, for comparison."""
+    by = {}
+    for n, packed in set(pairs):
+        by.setdefault(int(4 * np.log2(n)), []).append(round(1000 * np.log(packed / n)))
+    out = {}
+    for c in range(qr.CLASSES):
+        reach, held = 0, []
+        while True:
+            held = sorted(x for k, xs in by.items() if abs(k - c) <= reach for x in xs)
+            if len(held) >= qr.LEAST_TEXTS or reach >= qr.CLASSES:
+                break
+            reach += 1
+        if held:
+            mid = held[(len(held) - 1) // 2]
+            dev = sorted(abs(x - mid) for x in held)[(len(held) - 1) // 2]
+            spread = max(qr.LEAST_SPREAD, 1.4826 * dev / 1000)
+            out[c] = (np.exp(mid / 1000 - qr.WIDTH * spread), np.exp(mid / 1000 + qr.WIDTH * spread))
+    return out
+
+
+def test_verdicts_recomputed(spark, corpus):
+    """Every text's verdict, from the whole texts, by plain sorting."""
+    docs, labels = corpus
+    packed = lambda b: len(zstandard.ZstdCompressor(level=qr.LEVEL).compress(b))
+    data = {d: (t or "").encode() for d, t in docs.items()}
+    parts = {d: [b[i : i + qr.CHUNK_BYTES] for i in range(0, len(b), qr.CHUNK_BYTES) if len(b) - i >= qr.LEAST_CHUNK] for d, b in data.items()}
+    whole = plain_limits([(len(b), packed(b)) for b in data.values() if b])
+    chunk = plain_limits([(len(p), packed(p)) for ps in parts.values() for p in ps])
+    got = {r["doc_id"]: r for r in qr.op10_quality_rules(spark, SF).collect()}
+    beyond = []
+    for d, b in data.items():
+        outside = len(b) > 0 and not whole[int(4 * np.log2(len(b)))][0] <= packed(b) / len(b) <= whole[int(4 * np.log2(len(b)))][1]
+        bad = sum(not chunk[int(4 * np.log2(len(p)))][0] <= packed(p) / len(p) <= chunk[int(4 * np.log2(len(p)))][1] for p in parts[d])
+        assert got[d]["kept"] == (not got[d]["base_failed"] and not outside and not (bad and bad >= qr.BAD_CHUNK_SHARE * len(parts[d]))), d
+        if not got[d]["kept"] and not got[d]["base_failed"]:
+            beyond.append(d)
+    assert len(beyond) > 5
+    assert sum(labels[d]["quality"] for d in beyond if d in labels) <= 1
 
 
 def test_rules_of_odd_rows(spark, odd, none):
     out = qr.with_quality_rules(odd).collect()
-    assert len(out) == odd.count() and all(r["kept"] for r in out)
+    assert len(out) == odd.count() and all(r["kept"] for r in out) and out[0]["_class"] == 7
     assert [r["quality_rules"]["kept"] for r in out if r["doc_id"] in (3, 4, 5, 6, 7)] == [False] * 5
     assert qr.with_quality_rules(none).count() == 0
 
