@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,34 +22,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+    """A folder of this session's own in the one that the cluster names in spark.checkpoint.dir; it goes when the session ends.
 
-    A folder of this machine is set only where the session has none (tests, one machine)."""
+    Without that setting a folder of this machine serves a local session (tests, one machine); on a cluster that is an error,
+    as driver and executors would each see their own."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         held = context._jsc.sc().getCheckpointDir()
-    return held.get()
+    folder = f"{held.get()}/tessera-{context.applicationId}"
+    path, files = _on_disk(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def _on_disk(spark: SparkSession, folder: str):
+    """The JVM's path and file system of a folder."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    path, files = _on_disk(spark, folder)
+    files.delete(path, True)
+
+
+_INSIDE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes in this block are gone after it; what was made from them must have been written by then."""
+    _INSIDE.append(f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        discard(spark, _INSIDE.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage: written to the shared folder as a table and read from there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_INSIDE[-1] if _INSIDE else shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Whole texts can be long, so few of them go to a Python worker at once.
-ROWS_PER_BATCH = 1_000
+def own(df: DataFrame, *names: str) -> list[str]:
+    """Column names for an operator's own use, as given but for what it takes to differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+#: Whole texts can be long, so few of them, and few bytes, go to a Python worker at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
 def bounded_batches() -> None:
-    """Lowers the session's rows to an Arrow batch to ROWS_PER_BATCH, if it allows more."""
-    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Lowers the session's rows and bytes to an Arrow batch where they are Spark's defaults; a session's own choice stays.
+
+    Spark reads these settings when a job starts, so they can't be put back when an operator returns its DataFrame."""
+    spark = SparkSession.active()
+    for key, (default, lower) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, lower)
 
 
 def per_text(fn: Callable[[str], Sequence], schema: str) -> Callable[[Column], Column]:

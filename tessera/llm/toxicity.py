@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples (operator 6).
 
-A text becomes a TF-IDF vector over terms that tell the labels apart: whole words and word beginnings
-whose rates among toxic and other training examples differ beyond chance (log-likelihood ratio) and by
-a factor. Document frequencies for the IDF are counted over all documents. The score is a vote of the
-nearest training examples by exact cosine, weighted by the cosine, then calibrated by isotonic
-regression on leave-one-out votes; the nearest examples are kept as evidence.
-
-The examples lie in an inverted index cut into blocks. For each term a block keeps its largest
-weight, which bounds the cosine that any example of the block can reach with a query. Blocks are
-visited from the highest bound down, and the search ends when the bound is below the k-th best
-cosine so far, so the result is the same as that of scoring every example.
-
-The labelled examples are a bounded sample, by hash of the id (`MAX_TOXIC`, `MAX_OTHER`), and so is the
-vocabulary (`MAX_TERMS`); so the index that goes to the tasks has a fixed bound. Every document is scored whole.
-
-Defined cases: a text without a term of the vocabulary (empty and null texts too) gets the rate of toxic
+A text becomes a TF-IDF vector over every word of the labelled examples; document frequencies are counted over all
+documents. A word's weight is (1 + log count) * IDF * surprise, where the surprise is how many standard deviations
+(root of the log-likelihood ratio) its rates among toxic and other training examples lie apart, at least 1: no word
+is left out, and one that the labels say nothing about keeps its plain TF-IDF weight. The score is a vote of the
+nearest training examples by exact cosine, weighted by the cosine, then calibrated by isotonic regression on votes
+that leave the example itself out; the nearest examples are kept as evidence.
+
+The examples lie in an inverted index whose postings are cut into blocks of examples. Each (word, block) keeps its
+largest weight, which bounds what the word adds to any cosine of the block. A query sums these bounds, scores the
+blocks of the highest bounds first and then every block whose bound reaches the k-th best cosine, so the result is the
+same as that of scoring every example.
+
+The labelled examples are a bounded sample, by hash of the id (`MAX_TOXIC`, `MAX_OTHER`); so the index that goes to the
+tasks has a fixed bound. Every document is scored whole.
+
+Defined cases: a text without a word of the examples (empty and null texts too) gets the rate of toxic
 examples among training examples without one; no labels at all give score 0; conflicting labels of one
 id each count; cosines that tie are ranked by the example's position in the index; repeated rows get the
 same score each; an empty table gives an empty result; other columns pass through `with_toxicity`.
@@ -22,72 +23,36 @@ same score each; an empty table gives an empty result; other columns pass throug
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, cut, table
+from tessera.llm._common import bounded_batches, cut, own, table
 
 WORD = re.compile(r"[^\W\d_]+")
-LEVEL = re.compile(r"(%%?|#[0-9])$")
-#: Lengths of the word beginnings that are terms beside whole words.
-PREFIXES = (4, 5, 7)
-MAX_TOXIC, MAX_OTHER = 6_000, 10_000
-MAX_TERMS = 4_096
-#: A term's least log-likelihood ratio against chance, and least factor between its rates.
-MIN_RATIO, MIN_FACTOR = 30.0, 2.0
-MIN_EXAMPLES = 5
+MAX_TOXIC, MAX_OTHER = 3_000, 5_000
 NEAREST = 15
 #: Weight of the examples' toxic rate in a vote.
-PRIOR_WEIGHT = 0.25
+PRIOR_WEIGHT = 0.05
 BLOCK = 64
+#: Blocks that are scored before the first look at the k-th best cosine.
+FIRST_BLOCKS = 8
 SEED = 6
 FOLDS, HELD_OUT = 5, 0
 SCORED = "score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
 
 
-def bases(vocabulary: dict[str, int]) -> set[str]:
-    """The words and beginnings that the vocabulary's terms are levels of."""
-    return {LEVEL.sub("", t) for t in vocabulary}
-
-
-def terms(text: str, only: set[str] | None = None) -> dict[str, int]:
-    """Words, word beginnings (marked by a dash) and their levels with their counts; of these words and beginnings only, if given.
-
-    A level is a term of its own for what occurs often (#2, #3, #5 times at least) or densely (% and
-    %% for so many in a thousand words): cosine alone can't tell one mention in a long text from many."""
-    words = Counter(WORD.findall(text.lower()))
-    found = dict(words) if only is None else {w: words[w] for w in words.keys() & only}
-    for width in PREFIXES:
-        for w, n in words.items():
-            if len(w) > width:
-                start = w[:width] + "-"
-                if only is None or start in only:
-                    found[start] = found.get(start, 0) + n
-    total = sum(words.values())
-    thin, thick = total / 250, total / 60
-    least = min(2, thin)
-    for t, n in [x for x in found.items() if x[1] >= least]:
-        if n >= thin:
-            found[t + "%"] = 1
-            if n >= thick:
-                found[t + "%%"] = 1
-        if n >= 2:
-            found[t + "#2"] = 1
-            if n >= 3:
-                found[t + "#3"] = 1
-                if n >= 5:
-                    found[t + "#5"] = 1
-    return found
-
-
-def ratio(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+def terms(text: str) -> Counter:
+    """The words of a text with their counts."""
+    return Counter(WORD.findall(text.lower()))
+
+
+def ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
     """Log-likelihood ratio of a of n against b of m."""
 
     def part(k, total, p):
@@ -96,9 +61,11 @@ def ratio(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
             y = np.where(total - k > 0, (total - k) * np.log(1 - p), 0.0)
         return x + y
 
+    if not n or not m:
+        return np.zeros(len(a))
     a, b = a.astype(float), b.astype(float)
     both = (a + b) / (n + m)
-    return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
+    return np.maximum(0, 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both)))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,60 +82,76 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs), np.array(ys)
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 class Index:
-    """Labelled examples as TF-IDF vectors in blocks with a largest weight for each term."""
-
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], weights: tuple[float, float]) -> None:
-        self.vocabulary, self.idf, self.only = vocabulary, idf, bases(vocabulary)
-        of = lambda y: weights[int(y)]
-        bare = [float(labels[i]) for i, (at, _) in enumerate(vectors) if not len(at)]
-        total, toxic = sum(of(y) for y in bare), sum(of(y) * y for y in bare)
-        every, all_toxic = sum(of(y) for y in labels), sum(of(y) * y for y in labels)
-        self.rate = all_toxic / every if every else 0.0
-        self.bare = (toxic + self.rate) / (total + 1) if every else 0.0
-        kept = [i for i, (at, _) in enumerate(vectors) if len(at)]
-        # Examples with the same heaviest term lie together, so that a block's bounds are tight.
-        kept.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(labels[i]), ids[i]))
-        self.ids, self.labels = np.array([ids[i] for i in kept], np.int64), np.array([labels[i] for i in kept], float)
-        self.worth = np.array([of(labels[i]) for i in kept])
-        self.blocks = []
-        n_blocks = math.ceil(len(kept) / BLOCK)
-        self.bound = np.zeros((len(vocabulary), max(1, n_blocks)), np.float32)
-        for b in range(n_blocks):
-            held = [vectors[i] for i in kept[b * BLOCK : (b + 1) * BLOCK]]
-            at, weight = np.concatenate([v[0] for v in held]), np.concatenate([v[1] for v in held])
-            starts = np.cumsum([0, *[len(v[0]) for v in held[:-1]]])
-            self.blocks.append((at, weight, starts))
-            np.maximum.at(self.bound[:, b], at, np.nextafter(weight.astype(np.float32), np.float32(2)))
-        self.knots = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.calibrate(kept, vectors)
+    """Labelled examples as vectors of weighted words, in an inverted index with block maxima."""
+
+    def __init__(self, vocabulary: dict[str, int], weight: np.ndarray, ids: Sequence[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], worth: tuple[float, float]) -> None:
+        self.vocabulary, self.weight = vocabulary, weight
+        labels = np.asarray(labels, float)
+        every = np.where(labels > 0, worth[1], worth[0])
+        bare = np.array([not len(at) for at, _ in vectors], bool)
+        self.rate = float(every @ labels / every.sum()) if len(labels) else 0.0
+        self.bare = float((every[bare] @ labels[bare] + self.rate) / (every[bare].sum() + 1)) if len(labels) else 0.0
+        # Examples with the same heaviest word lie together, so that a block's bounds are tight.
+        kept = sorted(np.flatnonzero(~bare).tolist(), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(labels[i]), ids[i]))
+        self.ids, self.labels, self.worth = np.array([ids[i] for i in kept], np.int64), labels[kept], every[kept]
+        held = [vectors[i] for i in kept]
+        words = np.concatenate([v[0] for v in held]) if held else np.empty(0, np.int64)
+        weights = np.concatenate([v[1] for v in held]) if held else np.empty(0)
+        examples = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
+        order = np.argsort(words, kind="stable")  # by word, then by example
+        words, self.posted, self.posted_weight = words[order], examples[order].astype(np.int32), weights[order]
+        new = np.ones(len(words), bool)
+        new[1:] = (words[1:] != words[:-1]) | (self.posted[1:] // BLOCK != self.posted[:-1] // BLOCK)
+        starts = np.flatnonzero(new)
+        self.cell_start = np.append(starts, len(words))
+        self.cell_block = self.posted[starts] // BLOCK
+        self.cell_most = np.maximum.reduceat(self.posted_weight, starts) if len(starts) else np.empty(0)
+        self.word_start = np.searchsorted(words[starts], np.arange(len(vocabulary) + 1))
+        self.n_blocks = -(-len(held) // BLOCK)
+        votes = np.array([self.vote(*self.nearest(*v, without=p)) for p, v in enumerate(held)])
+        self.knots = isotonic(votes, self.labels, self.worth) if held else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return weighted(terms(text, self.only), self.vocabulary, self.idf)
+        get = self.vocabulary.get
+        got = [(at, n) for w, n in terms(text).items() if (at := get(w)) is not None]
+        return weighted(np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], float), self.weight)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, by cosine and then position."""
-        n_blocks = len(self.blocks)
-        if not len(at) or not n_blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        bound = weight @ self.bound[at]
-        order = np.argsort(-bound, kind="stable")
-        query = np.zeros(len(self.idf))
-        query[at] = weight
-        where, cosine = np.empty(0, np.int64), np.empty(0)
-        for b in order:
-            if bound[b] <= 0 or (len(cosine) == k and bound[b] < cosine[-1] - 1e-9):
-                break
-            terms_at, weights, starts = self.blocks[b]
-            got = np.add.reduceat(weights * query[terms_at], starts)
-            place = np.arange(b * BLOCK, b * BLOCK + len(got))
-            keep = (got > 0) & (place != without)
-            if len(cosine) == k:
-                keep &= got >= cosine[-1]
-            if keep.any():
-                where, cosine = np.concatenate((where, place[keep])), np.concatenate((cosine, got[keep]))
-                best = np.lexsort((where, -cosine.round(9)))[:k]
-                where, cosine = where[best], cosine[best]
+        none = np.empty(0, np.int64), np.empty(0)
+        if not len(at) or not self.n_blocks:
+            return none
+        first = self.word_start[at]
+        n = self.word_start[at + 1] - first
+        cells, of = spread(first, n), np.repeat(weight, n)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, self.cell_most[cells] * of, self.n_blocks)
+
+        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            mask = chosen[block]
+            some = cells[mask]
+            lengths = self.cell_start[some + 1] - self.cell_start[some]
+            posts = spread(self.cell_start[some], lengths)
+            cosine = np.bincount(self.posted[posts], self.posted_weight[posts] * np.repeat(of[mask], lengths), len(self.ids))
+            if without >= 0:
+                cosine[without] = 0
+            where = np.flatnonzero(cosine > 0)
+            return best(where, cosine[where], k)
+
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        where, cosine = scored(chosen)
+        least = cosine[-1] - 1e-9 if len(cosine) == k else 0.0
+        rest = (bound > 0) & (bound >= least) & ~chosen
+        if rest.any():
+            more, further = scored(rest)
+            where, cosine = best(np.concatenate((where, more)), np.concatenate((cosine, further)), k)
         return where, cosine
 
     def vote(self, where: np.ndarray, cosine: np.ndarray) -> float:
@@ -176,12 +159,6 @@ class Index:
         w = cosine * self.worth[where]
         return float((w @ self.labels[where] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
 
-    def calibrate(self, kept: list[int], vectors: list) -> None:
-        """Isotonic regression of the labels on votes that leave the example itself out."""
-        votes = np.array([self.vote(*self.nearest(*vectors[i], without=p)) for p, i in enumerate(kept)])
-        if len(kept):
-            self.knots = isotonic(votes, self.labels, self.worth)
-
     def score(self, text: str) -> tuple[float, list[dict]]:
         at, weight = self.vector(text)
         if not len(at):
@@ -191,13 +168,20 @@ class Index:
         return min(1.0, max(0.0, value)), [{"doc_id": int(self.ids[p]), "cosine": float(c), "toxic": int(self.labels[p])} for p, c in zip(where[:3], cosine[:3], strict=True)]
 
 
-def weighted(found: dict[str, int], vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and weights, of length 1, of the terms in the vocabulary."""
-    got = sorted((vocabulary[t], n) for t, n in found.items() if t in vocabulary)
-    at = np.array([p for p, _ in got], np.int64)
-    if not got:
-        return at, np.empty(0)
-    w = (1 + np.log(np.array([n for _, n in got], float))) * idf[at]
+def best(where: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k of the highest cosine (to nine digits), then of the least position."""
+    near = cosine.round(9)
+    if len(near) > 4 * k:
+        some = near >= -np.partition(-near, k - 1)[k - 1]
+        where, cosine, near = where[some], cosine[some], near[some]
+    order = np.lexsort((where, -near))[:k]
+    return where[order], cosine[order]
+
+
+def weighted(at: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and weights, of length 1, of the words at these places of the vocabulary; words of no weight are left out."""
+    w = (1 + np.log(counts)) * weight[at]
+    at, w = at[w > 0], w[w > 0]
     return at, w / np.sqrt(w @ w)
 
 
@@ -209,70 +193,54 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
     of = {r[0]: r[1] for r in usable.groupBy("_toxic").count().collect()}
     by_hash = lambda toxic, most: usable.filter(F.col("_toxic") == toxic).orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(most)
     some = by_hash(1, MAX_TOXIC).unionAll(by_hash(0, MAX_OTHER))
-    some = cut(docs.select(F.col(key).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id"))
 
-    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        rows = [0, 0]
-        for batch in batches:
-            for text, toxic in zip(batch["_text"], batch["_toxic"], strict=True):
-                seen[toxic].update(terms(text or "").keys())
-                rows[toxic] += 1
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": ["", *every], "a": [rows[1], *[seen[1][t] for t in every]], "b": [rows[0], *[seen[0][t] for t in every]]})
-
-    counted = some.select("_text", "_toxic").mapInPandas(count_terms, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = cut(counted.filter((F.col("a") + F.col("b") >= MIN_EXAMPLES) | (F.col("term") == "")))
-    top = counted.filter("term = ''").first()
-    n, m = (int(top["a"]), int(top["b"])) if top else (0, 0)
-    vocabulary: dict[str, int] = {}
-    if n and m:
-        rate = (F.col("a") + 0.5) / (n + 1) / ((F.col("b") + 0.5) / (m + 1))
-        far = counted.filter("term <> ''").filter((rate >= MIN_FACTOR) | (rate <= 1 / MIN_FACTOR)).toPandas()
-        far["ratio"] = ratio(far["a"].to_numpy(), far["b"].to_numpy(), n, m)
-        far = far[far["ratio"] >= MIN_RATIO].sort_values(["ratio", "term"], ascending=[False, True])[:MAX_TERMS]
-        vocabulary = {t: i for i, t in enumerate(far["term"])}
-    idf = inverse_frequencies(docs, text_col, vocabulary)
-
-    examples = some.select("_id", "_toxic", found_terms(vocabulary)(F.col("_text")).alias("found")).collect() if n + m else []
-    examples.sort(key=lambda r: (r["_id"], r["_toxic"], sorted(r["found"].items())))
-    vectors = [weighted(r["found"], vocabulary, idf) for r in examples]
-    scale = (of.get(0, 0) / m if m else 1.0, of.get(1, 0) / n if n else 1.0)
-    return Index(vocabulary, idf, [r["_id"] for r in examples], np.array([r["_toxic"] for r in examples]), vectors, scale)
-
-
-def found_terms(vocabulary: dict[str, int]):
-    """A column function: the counts of the vocabulary's terms in a text."""
-
-    only = bases(vocabulary)
-
-    @F.pandas_udf("map<string,int>")
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([{t: n for t, n in terms(text or "", only).items() if t in vocabulary} for text in texts], dtype=object)
-
-    return find
+    @F.pandas_udf("struct<words:array<string>,counts:array<int>>")
+    def count_words(texts: pd.Series) -> pd.DataFrame:
+        found = [terms(t or "") for t in texts]
+        return pd.DataFrame({"words": [list(f) for f in found], "counts": [list(f.values()) for f in found]})
+
+    # Distinct rows: a document that the corpus repeats is one example, and the limit above bounds what comes here.
+    texts = cut(docs.select(F.col(key).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").distinct())
+    got = texts.select("_id", "_toxic", count_words(F.col("_text")).alias("f")).select("_id", "_toxic", "f.*").toArrow().combine_chunks()
+    ids, toxic = np.array(got["_id"], np.int64), np.array(got["_toxic"], np.int64)
+    counts, sizes = np.array(got["counts"].combine_chunks().flatten(), float), np.diff(np.array(got["words"].combine_chunks().offsets))
+    coded = got["words"].combine_chunks().flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist() if len(coded) else []
+    # Numbered in the order of the words, whatever order the rows came in.
+    place = {w: i for i, w in enumerate(sorted(names))}
+    at = np.array([place[w] for w in names], np.int64)[np.array(coded.indices, np.int64)] if names else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    n, m = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    in_toxic = np.bincount(at, toxic[owner], len(place)) if len(place) else np.empty(0)
+    in_all = np.bincount(at, minlength=len(place)).astype(float) if len(place) else np.empty(0)
+    surprise = np.maximum(1, np.sqrt(ratio(in_toxic, in_all - in_toxic, n, m)))
+    weight = inverse_frequencies(docs, text_col, place) * surprise
+    ends = np.cumsum(sizes)
+    vectors = [weighted(at[b - s : b], counts[b - s : b], weight) for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], toxic[i], sorted(vectors[i][0].tolist())))
+    worth = (of.get(0, 0) / m if m else 1.0, of.get(1, 0) / n if n else 1.0)
+    return Index(place, weight, [int(ids[i]) for i in order], toxic[order], [vectors[i] for i in order], worth)
 
 
 def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> np.ndarray:
-    """IDF of the vocabulary over all docs; each task sends one count for each term."""
+    """IDF of the vocabulary over all docs; each task sends one count for each word that it met."""
     if not vocabulary:
         return np.zeros(0)
 
-    only = bases(vocabulary)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, rows = np.zeros(len(vocabulary), np.int64), 0
+        seen, rows, get = np.zeros(len(vocabulary), np.int64), 0, vocabulary.get
         for batch in batches:
             for text in batch["_text"]:
                 rows += 1
-                for t in terms(text or "", only).keys() & vocabulary.keys():
-                    seen[vocabulary[t]] += 1
-        yield pd.DataFrame({"at": np.arange(-1, len(vocabulary)), "n": np.concatenate(([rows], seen))})
+                found = [at for w in set(WORD.findall((text or "").lower())) if (at := get(w)) is not None]
+                seen[found] += 1
+        met = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": np.concatenate(([-1], met)), "n": np.concatenate(([rows], seen[met]))})
 
-    counted = docs.select(F.col(text_col).alias("_text")).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    n = {r["at"]: r["n"] for r in counted.collect()}
-    df = np.array([n.get(i, 0) for i in range(len(vocabulary))], float)
-    return np.log((n.get(-1, 0) + 1) / (df + 1)) + 1
+    counted = docs.select(F.col(text_col).alias("_text")).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[np.array(counted["at"], np.int64)] = np.array(counted["n"], float)  # the number of rows lies last
+    return np.log((df[-1] + 1) / (df[:-1] + 1))
 
 
 def with_toxicity(docs: DataFrame, index: Index, text_col: str = "text", into: str = "toxicity") -> DataFrame:
@@ -294,7 +262,8 @@ def scorer(index: Index):
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, all columns."""
     index = train(docs, labels, text_col=text_col)
-    return with_toxicity(docs, index, text_col, "_toxicity").filter(F.col("_toxicity.score") < threshold).drop("_toxicity")
+    (into,) = own(docs, "_toxicity")
+    return with_toxicity(docs, index, text_col, into).filter(F.col(f"{into}.score") < threshold).drop(into)
 
 
 def op6_toxicity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,15 +24,19 @@ def corpus(spark):
 
 def small_index(n=300, seed=0):
     rng = np.random.default_rng(seed)
-    terms = [f"t{i}" for i in range(60)]
-    vocabulary = {t: i for i, t in enumerate(terms)}
-    idf = rng.random(60) + 1
-    docs = [{terms[i]: int(rng.integers(1, 5)) for i in rng.choice(60, rng.integers(0, 12), replace=False)} for _ in range(n)]
-    vectors = [tox.weighted(d, vocabulary, idf) for d in docs]
-    return tox.Index(vocabulary, idf, list(range(n)), rng.integers(0, 2, n), vectors, (1.0, 1.0)), vectors
-
-
-def test_block_max_search_is_exact():
+    words = {f"t{i}": i for i in range(60)}
+    weight = rng.random(60) + 1
+    vectors = []
+    for _ in range(n):
+        at = np.sort(rng.choice(60, rng.integers(0, 12), replace=False))
+        vectors.append(tox.weighted(at, rng.integers(1, 5, len(at)).astype(float), weight))
+    return tox.Index(words, weight, list(range(n)), rng.integers(0, 2, n), vectors, (1.0, 1.0)), vectors
+
+
+@pytest.mark.parametrize("first", [1, 8, 100])
+def test_block_max_search_is_exact(first, monkeypatch):
+    monkeypatch.setattr(tox, "FIRST_BLOCKS", first)
+    monkeypatch.setattr(tox, "BLOCK", 8)
     index, vectors = small_index()
     place = {int(i): p for p, i in enumerate(index.ids)}
     dense = np.zeros((len(index.ids), 60))
@@ -58,13 +62,48 @@ def test_isotonic():
     assert np.allclose(np.interp([1, 2, 3, 4], *knots), [0, 0.5, 0.5, 0.5])
 
 
-def test_terms_only_matches_terms():
-    text = "Idiots idiotic idiots are idiots " * 3 + "und die Loweischaft"
-    every = tox.terms(text)
-    only = {"idiots", "idio-", "lowei-"}
-    got = tox.terms(text, only)
-    assert got == {t: n for t, n in every.items() if tox.LEVEL.sub("", t) in only}
-    assert every["idio-"] == 12 and every["idio-#5"] == 1
+def test_toxicity_scores_recomputed(spark):
+    """Every score of the query, from whole texts, by dense cosines over every word of every example."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    counts = {d: tox.terms(t) for d, t in docs.items()}
+    words = sorted({w for d in y for w in counts[d]})
+    n, m = sum(y.values()), len(y) - sum(y.values())
+    held = [sum(w in c for c in counts.values()) for w in words]
+    a = np.array([sum(w in counts[d] for d in y if y[d]) for w in words])
+    b = np.array([sum(w in counts[d] for d in y if not y[d]) for w in words])
+    llr = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        p = (i + j) / (n + m)
+        cells = [(i, n * p), (n - i, n * (1 - p)), (j, m * p), (m - j, m * (1 - p))]
+        llr.append(2 * sum(x * np.log(x / e) for x, e in cells if x))
+    weight = np.log((len(docs) + 1) / (np.array(held) + 1)) * np.maximum(1, np.sqrt(np.maximum(0, llr)))
+
+    def vector(d):
+        v = np.array([(1 + np.log(counts[d][w])) if w in counts[d] else 0 for w in words]) * weight
+        return v / np.linalg.norm(v) if v.any() else v
+
+    got = {r["doc_id"]: r for r in tox.op6_toxicity_nearest(spark, sf).collect()}
+    index = tox.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    order = index.ids.tolist()  # cosines that tie go by position
+    x, labels = np.array([vector(d) for d in order]), np.array([y[d] for d in order], float)
+    rate = sum(y.values()) / len(y)
+
+    def vote(cosine):
+        top = [p for p in np.lexsort((np.arange(len(order)), -cosine.round(9))) if cosine[p] > 0][: tox.NEAREST]
+        return (cosine[top] @ labels[top] + tox.PRIOR_WEIGHT * rate) / (cosine[top].sum() + tox.PRIOR_WEIGHT)
+
+    among = x @ x.T
+    np.fill_diagonal(among, 0)
+    knots = tox.isotonic(np.array([vote(c) for c in among]), labels, np.ones(len(labels)))
+    assert len(got) == len(docs)
+    for d in docs:
+        v = vector(d)
+        if v.any():
+            assert got[d]["score"] == pytest.approx(float(np.interp(vote(x @ v), *knots)), abs=1e-6), d
+        else:
+            assert got[d]["evidence"] == ""
 
 
 def test_toxicity_held_out(spark, corpus):
