@@ -32,6 +32,8 @@ START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 #: First character and rest of every control string.
 CONTROL = r"([<\[])(\|[a-z_]+\|>|/?s>|</?SYS>>|/?INST\])"
 LOSS_ROLE = "assistant"
+#: Branches of a tree that become conversations, by rank.
+BRANCHES = 1
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -52,7 +54,7 @@ def linear_tree(turns: DataFrame, tree: str = "conv_id", order: str = "turn") ->
     at = F.row_number().over(W.partitionBy("tree").orderBy(order, "role", "text")).cast("long")
     numbered = named.withColumn("node", at)
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return numbered.select("tree", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return numbered.select("tree", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))  # a single branch: any score ranks it first
 
 
 def reply_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -129,7 +131,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
     )
     messages = cut(linear_tree(turns.unionByName(probe)))
-    out = format_conversations(messages)
+    out = format_conversations(messages, BRANCHES)
     said = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return out.select(

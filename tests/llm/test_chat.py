@@ -58,3 +58,11 @@ def test_repeated_turns_and_null_order(spark):
     df = spark.createDataFrame([(1, None, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"), (None, 0, None, None)], "conv_id long, turn long, role string, text string")
     out = {r["tree"]: r["n_turns"] for r in chat.format_conversations(chat.linear_tree(df)).collect()}
     assert out == {1: 3, None: 1}
+
+
+def test_query_takes_the_best_branch(spark):
+    """With the query's own number of branches: the branch of the highest mean score, ties by leaf."""
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "poor", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "on", 0.2), (1, 5, 3, "user", "off", 0.6), (2, 1, None, "user", "x", 0.5), (2, 2, 1, "assistant", "a", 0.5), (2, 3, 1, "assistant", "b", 0.5)]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {r["tree"]: (r["leaf"], [t["text"] for t in r["turns"]]) for r in chat.format_conversations(messages, chat.BRANCHES).withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    assert got == {1: (5, ["q", "good", "off"]), 2: (2, ["x", "a"])}
