@@ -4,8 +4,8 @@ Each whole text is scanned for candidates: the three base kinds, and free-standi
 strings (kind `token`). Only a digest of a candidate's value leaves the text. Over the corpus the
 digests are counted by distinct repositories and owners, with one row for each (digest, owner,
 repository) before any digest comes together, so a value that a third of the corpus quotes is summed
-up from partial counts. A value that many owners share is a copied example; one that a single owner
-(or few) holds looks live. Base spans are always reported, with that verdict; `token` spans only
+up from partial counts. A value that more than `MAX_OWNERS` owners share in more than `MAX_REPOS` repositories is a copied
+example; one that few owners hold, or that lies in few repositories (a page and its mirror), looks live. Base spans are always reported, with that verdict; `token` spans only
 when they look live.
 
 Defined cases: a null text counts as empty; null repositories and owners count as one of their own;
@@ -38,8 +38,8 @@ DIGIT = re.compile("[0-9]")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Bits a character that a random-looking token has at least.
 MIN_BITS = 3.5
-#: A value with at most so many owners looks live.
-MAX_OWNERS = 1
+#: A value with at most so many owners, or in at most so many repositories, looks live.
+MAX_OWNERS, MAX_REPOS = 2, 3
 
 FOUND = "found array<struct<kind:string,start:int,stop:int,digest:string>>"
 
@@ -85,7 +85,7 @@ def candidates(text: str) -> tuple[list]:
     return ([{"kind": k, "start": a, "stop": b, "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32]} for k, a, b, v in found],)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(key, spans): one row for each row of docs; spans hold kind, start, stop, digest, repos, owners and live."""
     read = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(repo_col).cast("string").alias("_repo"), F.col(owner_col).cast("string").alias("_owner"), per_text(candidates, FOUND)(F.col(text_col))["found"].alias("_found")
@@ -96,7 +96,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text", repo_col:
     by_owner = held.groupBy("_digest", "_owner").agg(F.count("*").alias("_repos"))
     spread = by_owner.groupBy("_digest").agg(F.sum("_repos").alias("_repos"), F.count("*").alias("_owners"))
     judged = each.join(spread, F.col("_s.digest") == F.col("_digest"))
-    live = F.col("_owners") <= max_owners
+    live = (F.col("_owners") <= max_owners) | (F.col("_repos") <= max_repos)
     span = F.struct("_s.start", "_s.stop", "_s.kind", "_s.digest", F.col("_repos").alias("repos"), F.col("_owners").alias("owners"), live.alias("live"))
     judged = judged.filter(live | (F.col("_s.kind") != "token")).groupBy("_row").agg(F.collect_list(span).alias("_spans"))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
