@@ -2,7 +2,7 @@
 
 Texts are compared as sequences of lower-case words. A document holds an item if some stretch of it
 is within an edit distance of a fifth of the item's words. The CGK walk reads a window left to right
-and, at each step, moves on or stays by a random bit of the step and the word it stands on; two
+and, at each step, moves on or stays by a random bit of the step and the word (its class) it stands on; two
 windows a few edits apart soon walk in step again, so their embeddings differ in few places
 (Hamming). Sampling a few places of the embedding gives a bucket key, and enough repetitions with
 other random bits reach the target recall. How many that takes is measured when the index is built, on windows of
@@ -17,7 +17,8 @@ each class over the whole text). What the buckets give is verified exactly, by b
 distance against the stretch of the document around it.
 
 The index lives in the tasks' closures. A benchmark over `INDEX_WORDS` words is cut into parts by hash of
-the item, and each part makes its own pass.
+the item, and each part makes its own pass, which writes what the texts hold, by their SHA-256, before the next begins; so neither
+the driver nor a task holds more than one part.
 
 Defined cases: null or empty documents hold nothing; null or empty items and items of fewer than
 `LEAST_WORDS` words match nothing; items with the same words are found each; repeated rows are
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, table
+from tessera.llm._common import bounded_batches, cut, own, table
 
 TOKEN = re.compile(r"[^\W_]+")
 LEAST_WORDS = 5
@@ -47,13 +48,15 @@ SAMPLED = 3
 MIN_REPEATS, MAX_REPEATS = 8, 40
 #: Longest grams of the exact search, and how many (place, item) rows it holds at once, but for a single document's.
 LONGEST_GRAM, GRAM_ROWS = 4, 1_000_000
+#: Words are dealt into so many classes (a power of two); the walk's random bit goes by the step and the word's class.
+WORD_CLASSES = 512
 LARGEST_WINDOW = 512
 INDEX_WORDS = 2_000_000
 #: Windows whose words are held at once.
 WINDOW_ROWS = 50_000
 CHUNK_WORDS = 500_000
 SEED = 99
-HITS = "array<struct<item:long,edits:int,item_words:int,start:int,stop:int>>"
+HITS = "array<struct<item:string,edits:int,item_words:int,start:int,stop:int>>"
 
 
 def words_of(text: str) -> list[str]:
@@ -130,8 +133,7 @@ class LengthClass:
         offsets = np.arange(len(owners)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         at = (np.cumsum(held) - held)[owners] + offsets
         windows = lambda some: words[some[:, None] + np.arange(size)]
-        self.bits = rng.integers(0, 2, (MAX_REPEATS, self.steps, n_words + 2), np.uint8) if n_words * self.steps * MAX_REPEATS <= 1 << 25 else None
-        self.hashes = rng.integers(0, 1 << 63, (MAX_REPEATS, n_words + 2), np.int64)
+        self.bits = rng.integers(0, 2, (MAX_REPEATS, self.steps, WORD_CLASSES), np.uint8)
         self.places = np.sort(np.stack([rng.choice(self.steps, min(SAMPLED, self.steps), replace=False) for _ in range(MAX_REPEATS)]), axis=1)
         self.mix = rng.integers(1, 1 << 62, (MAX_REPEATS, self.places.shape[1]), np.int64) | 1
         self.symbol = rng.integers(0, 1 << 62, n_words + 3, np.int64)
@@ -141,8 +143,7 @@ class LengthClass:
             keys = np.concatenate([self.keys(windows(at[a : a + WINDOW_ROWS]), r) for a in range(0, len(at), WINDOW_ROWS)])
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], owners[order], offsets[order]))
-        if self.bits is not None:
-            self.bits = self.bits[: self.repeats].copy()
+        self.bits = self.bits[: self.repeats].copy()
         if not self.repeats:
             self.index_grams(rng)
 
@@ -176,13 +177,7 @@ class LengthClass:
             while taken < len(places) and places[taken] == j:
                 key += self.symbol[here] * self.mix[r, taken]
                 taken += 1
-            word = np.minimum(here, end - 1)
-            if self.bits is not None:
-                move = self.bits[r, j, word]
-            else:  # many words: the bit is taken from a hash of the word and the step
-                z = (self.hashes[r, word] ^ (j * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF)) * 0x2545F4914F6CDD1D
-                move = (z >> 40) & 1
-            at += (move != 0) & (here != end)
+            at += (self.bits[r, j, here & (WORD_CLASSES - 1)] != 0) & (here != end)
         return key
 
     def measured(self, some: np.ndarray, rng: np.random.Generator) -> int:
@@ -338,21 +333,37 @@ def searcher(index: Index):
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", item_text: str = "text", text_col: str = "text", into: str = "hits") -> DataFrame:
-    """docs with an array of the benchmark items that each holds, in the column `into` (an own column of that name is replaced)."""
+    """docs with an array of the benchmark items that each holds, in the column `into` (an own column of that name is replaced).
+
+    Items are named by their key, in its own type; items with a null key by null."""
     total = benchmark.select(F.sum(F.length(item_text))).first()[0] or 0
     parts = max(1, math.ceil(total / 5 / INDEX_WORDS))
     part = F.pmod(F.xxhash64(F.col(item_key), F.col(item_text)), F.lit(parts))
-    found: list[Column] = []
+    kind = benchmark.schema[item_key].dataType
+
+    def held(k: int) -> Column:
+        rows = benchmark.filter(part == k).select(F.col(item_key).cast("string"), item_text).collect()
+        index = Index(sorted(((r[0], r[1]) for r in rows if r[1] is not None), key=lambda x: (x[0] is None, x[0] or "", x[1])))
+        named = lambda h: F.struct(h["item"].cast(kind).alias("item"), h["edits"].alias("edits"), h["item_words"].alias("item_words"), h["start"].alias("start"), h["stop"].alias("stop"))
+        return F.transform(searcher(index)(F.col(text_col)), named)
+
+    if parts == 1:
+        return docs.withColumn(into, held(0))
+    found: DataFrame | None = None
     for k in range(parts):
-        held = benchmark.filter(part == k).select(F.col(item_key).cast("long"), item_text).collect()
-        index = Index(sorted(((r[0], r[1]) for r in held if r[1] is not None), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        found.append(searcher(index)(F.col(text_col)))
-    return docs.withColumn(into, F.concat(*found) if len(found) > 1 else found[0])
+        texts = docs.select(F.sha2(F.col(text_col), 256).alias("text"), held(k).alias("hits")).filter(F.size("hits") > 0)
+        one = cut(texts.groupBy("text").agg(F.first("hits").alias("hits")))
+        found = one if found is None else found.unionAll(one)
+    found = found.groupBy("text").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    (print_, hits) = own(docs, "_print", "_hits_of_print")
+    joined = docs.withColumn(print_, F.sha2(F.col(text_col), 256)).join(found.withColumnsRenamed({"text": print_, "hits": hits}), print_, "left")
+    return joined.withColumn(into, F.coalesce(hits, F.array().cast(found.schema["hits"].dataType))).drop(print_, hits)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns."""
-    return find_items(docs, benchmark, text_col=text_col, into="_hits").filter(F.size("_hits") == 0).drop("_hits")
+    (into,) = own(docs, "_hits")
+    return find_items(docs, benchmark, text_col=text_col, into=into).filter(F.size(into) == 0).drop(into)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
