@@ -225,12 +225,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "fingerprint", "left").select("fingerprint", component, root)
 
 
+#: A key of more than one row in so many is hot; so there are at most so many hot keys.
+HOT_SHARE = 2_000
+
+
+def by_key(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts, one for each key with its number of rows `n`; the hot keys' facts, at most HOT_SHARE, are broadcast.
+
+    So the rows of a large group stay where they are, and no task gets more than one row in HOT_SHARE by its key."""
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = facts["n"] * HOT_SHARE > total
+    facts, many = facts.drop("n"), facts.filter(hot).drop("n")
+    if many.isEmpty():
+        return rows.join(facts, key)
+    few = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(many), key).unionByName(few)
+
+
 def classes(docs: DataFrame, key: str, text_col: str, radius: int) -> DataFrame:
     """(key, _hash of the text, fingerprint, component, root): one row for each row of docs."""
     read = docs.select(F.col(key).alias(key), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text"))
     printed = cut(with_fingerprint(read, "_text").select(key, "_hash", "fingerprint"))
-    nodes = cut(printed.groupBy("fingerprint").agg(F.min(key).alias("least")))
-    return printed.join(components(nodes, near_links(nodes.select("fingerprint"), radius)), "fingerprint")
+    nodes = cut(printed.groupBy("fingerprint").agg(F.min(key).alias("least"), F.count("*").alias("n")))
+    found = components(nodes.select("fingerprint", "least"), near_links(nodes.select("fingerprint"), radius))
+    return by_key(printed, cut(found.join(nodes.select("fingerprint", "n"), "fingerprint")), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -241,8 +259,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs, all columns, with one row of each component."""
     each = cut(classes(docs, key, text_col, radius).select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_hash").alias("hash")).alias("row"), "root"))
-    best = each.groupBy("root").agg(F.min("row").alias("best"))
-    gone = cut(each.join(best, "root").filter(F.col("row") != F.col("best")).select(F.col("row.key").alias("_key"), F.col("row.hash").alias("_hash")).distinct())
+    best = cut(each.groupBy("root").agg(F.min("row").alias("best"), F.count("*").alias("n")))
+    gone = cut(by_key(each, best, "root").filter(F.col("row") != F.col("best")).select(F.col("row.key").alias("_key"), F.col("row.hash").alias("_hash")).distinct())
     same = (docs[key].eqNullSafe(gone["_key"])) & (F.xxhash64(docs[text_col]) == gone["_hash"])
     kept = docs.join(gone, same, "left_anti")
     repeated = each.join(best, F.col("row") == F.col("best"), "left_semi").groupBy("row").count().filter("count > 1")

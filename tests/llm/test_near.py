@@ -7,6 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tessera.llm import decontaminate as dc
 from tessera.llm import simhash
 
@@ -202,10 +204,43 @@ def test_benchmark_in_parts(spark):
     assert sum(w in got[d] for d, w in enumerate(want)) >= 0.98 * len(want)
 
 
-def test_many_words_use_hashed_bits():
+def test_many_words_share_bits_by_class():
     rng = np.random.default_rng(0)
     items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 60_000, 40))) for i in range(2_000)]
     index = dc.Index(items)
-    assert any(c.bits is None for c in index.classes)
+    assert all(c.bits.shape[1:] == (c.steps, dc.WORD_CLASSES) for c in index.classes)
     found = index.search([items[5][1], "nothing here at all but words"])
     assert [h["item"] for h in found[0]] == [5] and found[1] == []
+
+
+def test_recall_at_the_limit():
+    items, texts, _, _ = planted(3, (0.2, 0.2))
+    brute = [{i for i, x in items if dc.best_end(x.split(), t.split())[0] <= dc.allowed(len(x.split()))} for t in texts]
+    got = [{h["item"] for h in hits} for hits in dc.Index(items).search(texts)]
+    assert sum(map(len, brute)) >= 0.95 * len(texts)
+    assert sum(map(len, got)) >= 0.98 * sum(map(len, brute))
+
+
+def test_items_named_by_text(spark):
+    """Item keys keep their type, in one part and in several; a clashing input column stays."""
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"x {words} y", 5), (2, None, 5), (3, "nothing", 5), (1, f"x {words} y", 5)], "doc_id long, text string, _hits int")
+    bench = spark.createDataFrame([("a-1", words), ("b-2", " ".join(f"v{i}" for i in range(30)))], "item_id string, text string")
+    for size in (dc.INDEX_WORDS, 30):
+        dc.INDEX_WORDS, old = size, dc.INDEX_WORDS
+        try:
+            got = dc.find_items(docs, bench).collect()
+            kept = dc.drop_contaminated(docs, bench)
+            assert kept.columns == docs.columns and [(r["doc_id"], r["_hits"]) for r in kept.orderBy("doc_id").collect()] == [(2, 5), (3, 5)]
+        finally:
+            dc.INDEX_WORDS = old
+        assert sorted((r["doc_id"], [h["item"] for h in r["hits"]]) for r in got) == [(1, ["a-1"]), (1, ["a-1"]), (2, []), (3, [])]
+
+
+def test_hot_keys_are_joined_where_they_lie(spark):
+    rows = spark.range(6_000).selectExpr("id", "case when id % 3 = 0 then 7L else id end as k")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = simhash.by_key(rows, facts, "k")
+    assert got.count() == 6_000 and got.filter("k = 7").select("least").distinct().count() == 1
+    assert {r["least"] for r in got.filter("k <> 7").collect()} == {i for i in range(6_000) if i % 3 and i != 7}
+    assert simhash.by_key(rows.limit(0), facts.limit(0), "k").count() == 0
