@@ -12,7 +12,7 @@ prefix, an address or a card in another layout, a phone that runs into the numbe
 The weights are learnt here, by pseudo-likelihood, from the base spans of a bounded sample of documents
 (`TRAIN_DOCS`, by hash of the id) and their tokens (`TRAIN_TOKENS`). There are no labels for what the base patterns
 miss, so training rehearses it: an entity is mentioned once more at the end of its text in a layout that no base
-pattern takes (labelled as the entity), beside a stranger of the same layout (labelled as none); tokens that resemble an entity
+pattern takes (labelled as the entity), beside strangers of the same layout (labelled as none); tokens that resemble an entity
 and aren't covered are left out, as their label isn't known; and a share of the
 entities has its own features hidden as a whole, so that the potentials have to carry what the other mentions know.
 
@@ -54,7 +54,7 @@ CUES = {
 TRAIN_DOCS = 20_000
 TRAIN_TOKENS = 50_000
 HIDDEN_SHARE = 0.3
-L2 = 1e-3
+L2 = 1e-4
 #: Bound on the rounds of message passing; it ends when no message changes any more.
 ROUNDS = 60
 #: Least probability of an added entity.
@@ -246,7 +246,8 @@ def rehearsed(text: str, base: list[tuple[str, int, int]]) -> tuple[str, list[tu
         again = relaid(kind, text[a:b])
         if zlib.crc32(text[a:b].encode()) % 2:
             entities = [*entities, (kind, end + 7, end + 7 + len(again))]
-            added = f" again {again} and not {stranger(again)} here"
+            other = stranger(again)
+            added = f" again {again} and not {other} or {stranger(other)} or {stranger(stranger(other))} here"
             parts.append(added)
             end += len(added)
     return "".join(parts), entities
@@ -284,7 +285,7 @@ class Field:
         self.unary, self.chain, self.skip = unary, chain, skip
 
     @classmethod
-    def learn(cls, rows: np.ndarray, steps: int = 300) -> Field:
+    def learn(cls, rows: np.ndarray, steps: int = 600) -> Field:
         """Pseudo-likelihood with weight decay, by Adam; rows as learn_rows gives them."""
         k = len(LABELS)
         if not len(rows):
@@ -298,10 +299,11 @@ class Field:
         left, right = (np.eye(k + 1)[rows[:, c] + 1][:, 1:] for c in (2, 3))
         skips = np.minimum(rows[:, 4:-1].astype(float), 2)
         w = np.zeros((N_FEATURES + 3 * k, k))
-        # Each token twice: with its neighbours' labels, and with its own features alone, so that neither hides behind the other.
-        alone = ((rows[:, :1] >> np.arange(N_FEATURES)) & 1).astype(float)
-        data = np.vstack([np.hstack([x, left, right, skips]), np.hstack([alone, np.zeros((len(rows), 3 * k))])])
-        target = np.eye(k)[np.concatenate((y, y))]
+        # Each token thrice: with all its neighbours' labels, with those of its like only, and with its own features alone,
+        # so that none of the three hides behind another.
+        alone, none = ((rows[:, :1] >> np.arange(N_FEATURES)) & 1).astype(float), np.zeros((len(rows), k))
+        data = np.vstack([np.hstack([x, left, right, skips]), np.hstack([x, none, none, skips]), np.hstack([alone, none, none, none])])
+        target = np.eye(k)[np.concatenate((y, y, y))]
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
             z = data @ w

@@ -33,10 +33,10 @@ def small_index(n=300, seed=0):
     return tox.Index(words, weight, list(range(n)), rng.integers(0, 2, n), vectors, (1.0, 1.0)), vectors
 
 
-@pytest.mark.parametrize("first", [1, 8, 100])
-def test_block_max_search_is_exact(first, monkeypatch):
-    monkeypatch.setattr(tox, "FIRST_BLOCKS", first)
-    monkeypatch.setattr(tox, "BLOCK", 8)
+@pytest.mark.parametrize(("block", "share"), [(1, 0.1), (8, 0.1), (64, 0.0), (8, 1.0)])
+def test_block_max_search_is_exact(block, share, monkeypatch):
+    monkeypatch.setattr(tox, "BLOCK", block)
+    monkeypatch.setattr(tox, "COMMON_SHARE", share)
     index, vectors = small_index()
     place = {int(i): p for p, i in enumerate(index.ids)}
     dense = np.zeros((len(index.ids), 60))
