@@ -7,10 +7,11 @@ is left out, and one that the labels say nothing about keeps its plain TF-IDF we
 nearest training examples by exact cosine, weighted by the cosine, then calibrated by isotonic regression on votes
 that leave the example itself out; the nearest examples are kept as evidence.
 
-The examples lie in an inverted index whose postings are cut into blocks of examples. Each (word, block) keeps its
-largest weight, which bounds what the word adds to any cosine of the block. A query sums these bounds, scores the
-blocks of the highest bounds first and then every block whose bound reaches the k-th best cosine, so the result is the
-same as that of scoring every example.
+The examples lie in an inverted index cut into blocks of like examples. The rarer words' postings are summed for every
+example. The common words (in over `COMMON_SHARE` of the examples), whose postings would be most of the work, keep their
+largest weight in each block, which bounds what they add to any cosine of the block: a query takes the examples with the
+highest bounds first, and then every example whose bound reaches the k-th best cosine, so the result is the same as that
+of scoring every example on every word.
 
 The labelled examples are a bounded sample, by hash of the id (`MAX_TOXIC`, `MAX_OTHER`); so the index that goes to the
 tasks has a fixed bound. Every document is scored whole.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,9 +41,10 @@ MAX_TOXIC, MAX_OTHER = 3_000, 5_000
 NEAREST = 15
 #: Weight of the examples' toxic rate in a vote.
 PRIOR_WEIGHT = 0.05
-BLOCK = 64
-#: Blocks that are scored before the first look at the k-th best cosine.
-FIRST_BLOCKS = 8
+BLOCK = 16
+COMMON_SHARE = 0.1
+#: More than single precision can be off in a cosine.
+SLACK = 1e-5
 SEED = 6
 FOLDS, HELD_OUT = 5, 0
 SCORED = "score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
@@ -88,7 +91,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Labelled examples as vectors of weighted words, in an inverted index with block maxima."""
+    """Labelled examples as vectors of weighted words: postings of the rarer words, and of the common ones blocks with their maxima."""
 
     def __init__(self, vocabulary: dict[str, int], weight: np.ndarray, ids: Sequence[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], worth: tuple[float, float]) -> None:
         self.vocabulary, self.weight = vocabulary, weight
@@ -97,62 +100,71 @@ class Index:
         bare = np.array([not len(at) for at, _ in vectors], bool)
         self.rate = float(every @ labels / every.sum()) if len(labels) else 0.0
         self.bare = float((every[bare] @ labels[bare] + self.rate) / (every[bare].sum() + 1)) if len(labels) else 0.0
-        # Examples with the same heaviest word lie together, so that a block's bounds are tight.
-        kept = sorted(np.flatnonzero(~bare).tolist(), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(labels[i]), ids[i]))
+        kept = np.flatnonzero(~bare).tolist()
+        uses = np.bincount(np.concatenate([vectors[i][0] for i in kept]), minlength=len(vocabulary)) if kept else np.zeros(len(vocabulary))
+        common = np.flatnonzero(uses > COMMON_SHARE * len(kept))
+        self.column = np.full(len(vocabulary), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        # Examples of one language and of like length lie together, so that a block's maxima are near its weights.
+        dense = np.zeros((len(kept), len(common)), np.float32)
+        for row, i in enumerate(kept):
+            at, w = vectors[i]
+            here = self.column[at]
+            dense[row, here[here >= 0]] = w[here >= 0]
+        first = dense.argmax(1) if len(common) else np.zeros(len(kept), np.int64)
+        order = sorted(range(len(kept)), key=lambda r: (int(first[r]), len(vectors[kept[r]][0]), ids[kept[r]], int(labels[kept[r]])))
+        kept = [kept[r] for r in order]
+        self.dense = dense[order]
+        self.most = np.stack([self.dense[a : a + BLOCK].max(0) for a in range(0, len(kept), BLOCK)]) if kept else self.dense
         self.ids, self.labels, self.worth = np.array([ids[i] for i in kept], np.int64), labels[kept], every[kept]
         held = [vectors[i] for i in kept]
         words = np.concatenate([v[0] for v in held]) if held else np.empty(0, np.int64)
         weights = np.concatenate([v[1] for v in held]) if held else np.empty(0)
         examples = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
-        order = np.argsort(words, kind="stable")  # by word, then by example
-        words, self.posted, self.posted_weight = words[order], examples[order].astype(np.int32), weights[order]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (self.posted[1:] // BLOCK != self.posted[:-1] // BLOCK)
-        starts = np.flatnonzero(new)
-        self.cell_start = np.append(starts, len(words))
-        self.cell_block = self.posted[starts] // BLOCK
-        self.cell_most = np.maximum.reduceat(self.posted_weight, starts) if len(starts) else np.empty(0)
-        self.word_start = np.searchsorted(words[starts], np.arange(len(vocabulary) + 1))
-        self.n_blocks = -(-len(held) // BLOCK)
+        rare = self.column[words] < 0
+        words, weights, examples = words[rare], weights[rare], examples[rare]
+        by_word = np.argsort(words, kind="stable")
+        self.posted, self.posted_weight = examples[by_word].astype(np.int32), weights[by_word]
+        self.word_start = np.searchsorted(words[by_word], np.arange(len(vocabulary) + 1))
         votes = np.array([self.vote(*self.nearest(*v, without=p)) for p, v in enumerate(held)])
         self.knots = isotonic(votes, self.labels, self.worth) if held else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        get = self.vocabulary.get
-        got = [(at, n) for w, n in terms(text).items() if (at := get(w)) is not None]
-        return weighted(np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], float), self.weight)
+        found = terms(text)
+        at = np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), float, len(found))
+        return weighted(at[at >= 0], counts[at >= 0], self.weight)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, by cosine and then position."""
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(at) or not self.n_blocks:
-            return none
-        first = self.word_start[at]
-        n = self.word_start[at + 1] - first
-        cells, of = spread(first, n), np.repeat(weight, n)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, self.cell_most[cells] * of, self.n_blocks)
-
-        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            mask = chosen[block]
-            some = cells[mask]
-            lengths = self.cell_start[some + 1] - self.cell_start[some]
-            posts = spread(self.cell_start[some], lengths)
-            cosine = np.bincount(self.posted[posts], self.posted_weight[posts] * np.repeat(of[mask], lengths), len(self.ids))
-            if without >= 0:
-                cosine[without] = 0
-            where = np.flatnonzero(cosine > 0)
-            return best(where, cosine[where], k)
-
-        chosen = np.zeros(self.n_blocks, bool)
-        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        where, cosine = scored(chosen)
-        least = cosine[-1] - 1e-9 if len(cosine) == k else 0.0
-        rest = (bound > 0) & (bound >= least) & ~chosen
-        if rest.any():
-            more, further = scored(rest)
-            where, cosine = best(np.concatenate((where, more)), np.concatenate((cosine, further)), k)
-        return where, cosine
+        size = len(self.ids)
+        if not len(at) or not size:
+            return np.empty(0, np.int64), np.empty(0)
+        column = self.column[at]
+        rare = column < 0
+        first = self.word_start[at[rare]]
+        n = self.word_start[at[rare] + 1] - first
+        posts = spread(first, n)
+        partial = np.bincount(self.posted[posts], self.posted_weight[posts] * np.repeat(weight[rare], n), size)
+        query = np.zeros(self.dense.shape[1])
+        query[column[~rare]] = weight[~rare]
+        narrow = query.astype(np.float32)
+        # What the common words can add in a block, with room for the rounding of single precision.
+        bound = partial + np.repeat(self.most @ narrow, BLOCK)[:size] + SLACK
+        if without >= 0:
+            bound[without] = 0
+        top = np.argpartition(-bound, min(4 * k, size - 1))[: 4 * k]
+        cosine = partial[top] + self.dense[top] @ narrow
+        if without >= 0:
+            cosine[top == without] = 0
+        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
+        where = np.flatnonzero((bound >= least - SLACK) & (bound > SLACK))
+        near = partial[where] + self.dense[where] @ narrow
+        if len(near) > k:
+            some = near >= np.partition(near, len(near) - k)[len(near) - k] - SLACK
+            where = where[some]
+        exact = partial[where] + self.dense[where].astype(float) @ query
+        return best(where[exact > 0], exact[exact > 0], k)
 
     def vote(self, where: np.ndarray, cosine: np.ndarray) -> float:
         """Cosine-weighted share of toxic examples among the nearest, drawn to the overall rate."""
@@ -228,13 +240,13 @@ def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[str, in
         return np.zeros(0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, rows, get = np.zeros(len(vocabulary), np.int64), 0, vocabulary.get
+        seen, rows, get = np.zeros(len(vocabulary) + 1, np.int64), 0, vocabulary.get
         for batch in batches:
             for text in batch["_text"]:
                 rows += 1
-                found = [at for w in set(WORD.findall((text or "").lower())) if (at := get(w)) is not None]
-                seen[found] += 1
-        met = np.flatnonzero(seen)
+                words = set(WORD.findall((text or "").lower()))
+                seen[np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))] += 1  # the last place takes all other words
+        met = np.flatnonzero(seen[:-1])
         yield pd.DataFrame({"at": np.concatenate(([-1], met)), "n": np.concatenate(([rows], seen[met]))})
 
     counted = docs.select(F.col(text_col).alias("_text")).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
