@@ -37,11 +37,14 @@ from pyspark.sql import functions as F
 from tessera.llm._common import bounded_batches, cut, own, table
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Characters outside ASCII that aren't letters; and every ASCII byte that isn't a letter as a blank.
+FAR_OTHER = re.compile(r"(?![\x00-\x7F])[\W\d]+")
+ONLY_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 MAX_TOXIC, MAX_OTHER = 3_000, 5_000
 NEAREST = 15
 #: Weight of the examples' toxic rate in a vote.
 PRIOR_WEIGHT = 0.05
-BLOCK = 16
+BLOCK = 4
 COMMON_SHARE = 0.1
 #: More than single precision can be off in a cosine.
 SLACK = 1e-5
@@ -50,9 +53,17 @@ FOLDS, HELD_OUT = 5, 0
 SCORED = "score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
 
 
+def words_of(text: str) -> list[bytes]:
+    """The lower-case runs of letters, in UTF-8: what WORD finds, cut as bytes, which takes a third of the time."""
+    low = text.lower()
+    if not low.isascii():
+        low = FAR_OTHER.sub(" ", low)
+    return low.encode("utf-8", "surrogatepass").translate(ONLY_LETTERS).split()
+
+
 def terms(text: str) -> Counter:
     """The words of a text with their counts."""
-    return Counter(WORD.findall(text.lower()))
+    return Counter(words_of(text))
 
 
 def ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
@@ -93,7 +104,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Index:
     """Labelled examples as vectors of weighted words: postings of the rarer words, and of the common ones blocks with their maxima."""
 
-    def __init__(self, vocabulary: dict[str, int], weight: np.ndarray, ids: Sequence[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], worth: tuple[float, float]) -> None:
+    def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, ids: Sequence[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], worth: tuple[float, float]) -> None:
         self.vocabulary, self.weight = vocabulary, weight
         labels = np.asarray(labels, float)
         every = np.where(labels > 0, worth[1], worth[0])
@@ -206,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
     by_hash = lambda toxic, most: usable.filter(F.col("_toxic") == toxic).orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(most)
     some = by_hash(1, MAX_TOXIC).unionAll(by_hash(0, MAX_OTHER))
 
-    @F.pandas_udf("struct<words:array<string>,counts:array<int>>")
+    @F.pandas_udf("struct<words:array<binary>,counts:array<int>>")
     def count_words(texts: pd.Series) -> pd.DataFrame:
         found = [terms(t or "") for t in texts]
         return pd.DataFrame({"words": [list(f) for f in found], "counts": [list(f.values()) for f in found]})
@@ -234,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
     return Index(place, weight, [int(ids[i]) for i in order], toxic[order], [vectors[i] for i in order], worth)
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int]) -> np.ndarray:
     """IDF of the vocabulary over all docs; each task sends one count for each word that it met."""
     if not vocabulary:
         return np.zeros(0)
@@ -244,7 +255,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: dict[str, in
         for batch in batches:
             for text in batch["_text"]:
                 rows += 1
-                words = set(WORD.findall((text or "").lower()))
+                words = set(words_of(text or ""))
                 seen[np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))] += 1  # the last place takes all other words
         met = np.flatnonzero(seen[:-1])
         yield pd.DataFrame({"at": np.concatenate(([-1], met)), "n": np.concatenate(([rows], seen[met]))})

@@ -56,6 +56,12 @@ def test_block_max_search_is_exact(block, share, monkeypatch):
         assert list(where) == want and np.allclose(got, cosine[want])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["a", "Ä", "ß", "İ", "_", "1", "٣", "“", " ", "\n", "ﬁ", "-", "é", "\u0301", "²", "漢"]), max_size=30).map("".join))
+def test_words_as_bytes(text):
+    assert tox.words_of(text) == [w.encode("utf-8", "surrogatepass") for w in tox.WORD.findall(text.lower())]
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 0])
     knots = tox.isotonic(x, y, np.ones(5))
