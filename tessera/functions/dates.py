@@ -10,7 +10,7 @@ def period_bucket(death_years: Column) -> Column:
     """By the latest death year; any unknown year makes the period unknown."""
     latest = F.array_max(death_years)
     unknown = (F.size(death_years) <= 0) | F.exists(death_years, lambda y: y.isNull()) | death_years.isNull()
-    return F.when(unknown, "unknown").when(latest <= 1800, "through_1800").when(latest <= 1900, "1801_1900").otherwise("after_1900")
+    return F.when(unknown, "unknown").when(latest <= 1800, "origins_through_1800").when(latest <= 1900, "nineteenth_century_bridge").otherwise("author_died_after_1900_review")
 
 
 def years(text: Column) -> Column:
