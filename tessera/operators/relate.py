@@ -148,6 +148,13 @@ def append_new(base: DataFrame, new: DataFrame, key: str, text: str) -> DataFram
     return base.unionByName(fresh)
 
 
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df without the listed ids; an id that df lacks is an error."""
+    if bad := ids.join(df, key, "left_anti").select(key).limit(3).collect():
+        raise ValueError(f"ids that aren't there: {[r[0] for r in bad]}")
+    return df.join(ids.select(key).distinct(), key, "left_anti")
+
+
 def transclude(pages: DataFrame, parts: DataFrame, page: str, titles: str, title: str, text: str) -> DataFrame:
     """(page, text, missing): the listed pages' texts in their order; titles without a page are counted."""
     listed = pages.select(page, F.posexplode(titles).alias("_at", title))
