@@ -17,10 +17,13 @@ MIN_POSTING, MAX_POSTING, MIN_SHARED, MIN_SHARE = 2, 40, 2, 0.4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir (its own where there is none)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one gets a folder of this machine."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

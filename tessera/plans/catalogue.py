@@ -648,8 +648,7 @@ with y as (select doc_id, unnest(regexp_extract_all(text, '\b(1\d{3}|20\d{2})\b'
 select cast(y as int) as year, count(*) as n from y group by 1
 """)
 def doc_year_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.transform(F.regexp_extract_all("text", F.lit(r"\b(1\d{3}|20\d{2})\b")), lambda y: y.cast("int"))
-    return of(spark, sf_dir, "documents").select(F.explode(held).alias("year")).groupBy("year").agg(F.count("*").alias("n"))
+    return of(spark, sf_dir, "documents").select(F.explode(D.years(F.col("text"))).alias("year")).groupBy("year").agg(F.count("*").alias("n"))
 
 
 @named("""
