@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.udfs import character_variety
+
 # Fixed values ------------------------------------------------------------------------------------
 CURLY_APOSTROPHE = "’"
 SINGLE_LETTER_BRACKET = r"\[([A-Za-zÀ-ÖØ-öø-ÿ])\]"
@@ -251,12 +253,13 @@ def shingle_anchors(grams: Column, mask: int = 1023) -> Column:
 
 def score_bundle(text: Column, prompt: Column, n: int = 4, marker: str = BOUNDARY_MARKER) -> Column:
     """Characters, lines, markers, character variety, repetition, prompt kept."""
+    variety = character_variety(text, n)
     return F.struct(
         F.length(text).cast("long").alias("character_count"),
         non_empty_line_count(text).alias("non_empty_line_count"),
         count_literal(text, marker).alias("boundary_marker_count"),
-        unique_character_ratio(text).alias("unique_character_ratio"),
-        repeated_ratio(char_grams(text, n)).alias("repetition_ratio"),
+        variety["unique"].alias("unique_character_ratio"),
+        variety["repeated"].alias("repetition_ratio"),
         F.startswith(text, prompt).alias("prompt_preserved"),
     )
 

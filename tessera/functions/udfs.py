@@ -6,6 +6,7 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +73,35 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
 
 
+def variety(text: str | None, n: int) -> tuple[float, float]:
+    """(distinct characters by all, 1 - distinct runs of n characters by all); 0 where there are none."""
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not len(codes):
+        return 0.0, 0.0
+    letters, ids = np.unique(codes, return_inverse=True)
+    runs, bound = ids, len(letters)
+    for width in range(1, min(n, len(codes))):  # a run one longer is the run so far and the next character
+        if bound * len(letters) >= 1 << 62:
+            kinds, runs = np.unique(runs, return_inverse=True)
+            bound = len(kinds)
+        runs = runs[:-1] * len(letters) + ids[width:]
+        bound *= len(letters)
+    found = len(codes) - n + 1
+    return len(letters) / len(codes), 1 - len(np.unique(runs)) / found if found > 0 else 0.0
+
+
+def character_variety(text: Column, n: int) -> Column:
+    """(unique, repeated): the share of distinct characters, and that of repeated runs of n characters."""
+    if n <= 0:
+        raise ValueError("n must be positive")
+
+    @F.pandas_udf("unique double, repeated double")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([variety(t, n) for t in texts], columns=["unique", "repeated"])
+
+    return measure(text)
+
+
 def _column(fn, kind: str):
     """A column function that gives the values of one row to fn."""
 

@@ -36,12 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, fingerprint: Column, order: str) -> DataFrame:
     """df with `duplicate_of`: the first row with the same fingerprint, null for that row itself.
 
-    The first row is an aggregate joined back, not a window, so a fingerprint that very many rows
-    share never comes together in one task."""
+    Only ids and fingerprints move to find the repeated ones, and only the repeated rows' ids come back to df; a fingerprint
+    that very many rows share is combined before the shuffle."""
     marked = df.withColumn("_fp", fingerprint)
-    first = marked.groupBy("_fp").agg(F.min(order).alias("_first"))
-    joined = marked.join(first, marked["_fp"].eqNullSafe(first["_fp"])).drop("_fp")
-    return joined.withColumn("duplicate_of", F.when(F.col("_first") != F.col(order), F.col("_first"))).drop("_first")
+    keys = marked.select(F.col(order).alias("_order"), F.col("_fp").alias("_print"))
+    first = keys.groupBy("_print").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    later = keys.join(first.withColumnRenamed("_print", "_p"), F.col("_print").eqNullSafe(F.col("_p"))).filter("_order <> _first").select("_order", "_print", "_first").distinct()
+    joined = marked.join(later, (F.col(order) == F.col("_order")) & F.col("_fp").eqNullSafe(F.col("_print")), "left")
+    return joined.withColumn("duplicate_of", F.col("_first")).drop("_fp", "_order", "_print", "_first")
 
 
 def exact_groups(df: DataFrame, fingerprint: Column, key: str, split: str | None = None) -> DataFrame:
@@ -59,8 +61,14 @@ def winner(df: DataFrame, group: Column, *order: Column) -> DataFrame:
 
 def shingles(df: DataFrame, key: str, words: Column, n: int = SHINGLE) -> DataFrame:
     """(key, gram): the distinct word n-grams of each row as 64-bit hashes: 8 bytes to move and compare instead of eight words."""
-    hashed = lambda grams: F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
-    return df.select(key, F.explode(hashed(T.word_grams(words, n))).alias("gram"))
+
+
+    def hashed(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+        return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return df.select(key, F.explode(T.let(hashes, hashed)).alias("gram"))
 
 
 def candidates(left: DataFrame, right: DataFrame | None = None, key: str = "doc_id", least: int = MIN_SHARED, share: float = MIN_SHARE, most: int = MAX_POSTING) -> DataFrame:

@@ -85,12 +85,17 @@ def auroc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Data
 def concordance(df: DataFrame, score: str, quality: str) -> DataFrame:
     """One row: over pairs of unequal quality, the share whose scores agree in order, ties a half.
 
-    Summed over pairs of distinct (score, quality) values with their counts."""
-    held = df.groupBy(F.col(score).alias("s"), F.col(quality).alias("q")).agg(F.count("*").alias("n"))
-    a, b = held.alias("a"), held.alias("b")
-    credit = F.when(F.col("a.s") > F.col("b.s"), 1.0).when(F.col("a.s") == F.col("b.s"), 0.5).otherwise(0.0)
-    weight = F.col("a.n") * F.col("b.n")
-    return a.join(b, F.expr("a.q > b.q")).agg(F.sum(weight).alias("pairs"), (F.sum(weight * credit) / F.sum(weight)).alias("concordance"))
+    Distinct (score, quality) values with their counts meet each lower quality level once, and running counts by score do the
+    rest; so the work is values times levels, not values squared."""
+    held = df.filter(F.col(score).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(score).alias("s"), F.col(quality).alias("q")).agg(F.count("*").alias("n"))
+    levels = held.select(F.col("q").alias("_level")).distinct()
+    upper = held.join(F.broadcast(levels), F.col("q") > F.col("_level")).groupBy("s", "_level").agg(F.sum("n").alias("_a"))
+    lower = held.select("s", F.col("q").alias("_level"), F.col("n").alias("_b"))
+    cells = upper.join(lower, ["s", "_level"], "full_outer").select("s", "_level", F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.lit(0)).alias("_b"))
+    below = F.coalesce(F.sum("_b").over(W.partitionBy("_level").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    each = cells.withColumn("_below", below).groupBy("_level").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum(F.col("_a") * (F.col("_below") + F.col("_b") / 2)).alias("_wins"))
+    pairs = F.sum(F.col("_a") * F.col("_b"))
+    return each.agg(pairs.alias("pairs"), (F.sum("_wins") / F.nullif(pairs, F.lit(0))).alias("concordance"))
 
 
 def top_k_cosine(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
@@ -182,19 +187,36 @@ def linear_cka(a: np.ndarray, b: np.ndarray) -> float:
 
 def effective_rank(a: np.ndarray) -> float:
     """Exponential of the entropy of the singular values' shares."""
-    s = np.linalg.svd(a - a.mean(0), compute_uv=False)
-    p = s / s.sum()
-    p = p[p > 0]
+    return rank_of_spread((a - a.mean(0)).T @ (a - a.mean(0)))
+
+
+def rank_of_spread(gram: np.ndarray) -> float:
+    """The same from the centred vectors' Gram matrix, whose eigenvalues are the singular values squared."""
+    s = np.sqrt(np.clip(np.linalg.eigvalsh(gram), 0, None))
+    p = s / max(s.sum(), 1e-300)
+    p = p[p > 1e-9]
     return float(np.exp(-(p * np.log(p)).sum()))
 
 
 def representation(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, effective_rank, rows) of each group's vectors; a group fits a task by contract."""
+    """(group, effective_rank, rows) of each group's vectors: every batch gives its counts, sums and Gram matrix, which are
+    added up; so a group of any size is a few matrices of the vectors' width."""
+    kind = dict(df.dtypes)[group]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf[group].iloc[0], effective_rank(np.array(pdf[vector].tolist(), float)), len(pdf))], columns=[group, "effective_rank", "rows"])
-
-    return df.select(group, vector).groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, effective_rank double, rows long")
+    def sums(batches):
+        for batch in batches:
+            held = batch[batch[vector].notna()]
+            for name, rows in held.groupby(group, dropna=False):
+                a = np.array(rows[vector].tolist(), float)
+                yield pd.DataFrame({group: [name], "_n": [len(a)], "_sum": [a.sum(0)], "_gram": [(a.T @ a).ravel()]})
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, total = int(pdf["_n"].sum()), np.sum(pdf["_sum"].tolist(), axis=0)
+        gram = np.sum(pdf["_gram"].tolist(), axis=0).reshape(len(total), -1) - np.outer(total, total) / n
+        return pd.DataFrame([(pdf[group].iloc[0], rank_of_spread(gram), n)], columns=[group, "effective_rank", "rows"])
+
+    added = df.select(group, vector).mapInPandas(sums, f"{group} {kind}, _n long, _sum array<double>, _gram array<double>")
+    return added.groupBy(group).applyInPandas(rank, f"{group} {kind}, effective_rank double, rows long")
 
 
 def grid(*axes: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def blocked(flag_array: Column, prefixes: Sequence[str] = ("review_",)) -> Colum
 def surface_screen(text: Column) -> Column:
     """What can be seen of a generated poem's form."""
     markers = flags({name: F.regexp_like(text, F.lit(p)) for name, p in META_TEXT.items()})
-    longest, repetition = T.longest_line(text), T.repeated_ratio(T.char_grams(text, 4))
+    longest, repetition = T.longest_line(text), T.character_variety(text, 4)["repeated"]
     n_lines, shape = T.non_empty_line_count(text), T.stanza_pattern(text)
     free, ends = F.size(markers) == 0, T.ends_with_terminal(text)
     return F.struct(

@@ -223,10 +223,17 @@ def characters(df: DataFrame, text: str) -> DataFrame:
 
 
 def offsets(df: DataFrame, pool: str, order: str, n: str) -> DataFrame:
-    """df with `first` and `behind`: where each document's tokens lie in its pool's stream."""
-    so_far = W.partitionBy(pool).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(n).over(so_far)
-    return df.withColumn("behind", end.cast("long")).withColumn("first", F.col("behind") - F.col(n))
+    """df with `first` and `behind`: where each document's tokens lie in its pool's stream.
+
+    The rows are cut into ranges of (pool, order), written once so that the cuts stay; the ranges' sums are summed up and
+    rows only within their range, so no task holds a pool."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = checkpointed(df.repartitionByRange(parts, pool, order).withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy(pool).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.groupBy(pool, "_part").agg(F.sum(n).alias("_sum")).select(F.col(pool).alias("_pool"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum(n).over(W.partitionBy(pool, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    placed = held.withColumn("_inside", inside).join(F.broadcast(starts), F.col(pool).eqNullSafe(F.col("_pool")) & (F.col("_part") == F.col("_at")))
+    return placed.withColumn("behind", (F.col("_start") + F.col("_inside")).cast("long")).withColumn("first", F.col("behind") - F.col(n)).drop("_part", "_inside", "_pool", "_at", "_start")
 
 
 def windows(placed: DataFrame, pool: str, key: str, span: int, stride: int) -> DataFrame:

@@ -59,10 +59,11 @@ select status, split, count(*) as documents, cast(sum(n) as bigint) as character
 def doc_canonical_dedup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The web-corpus build: canonical white space, first of equal texts, hash split, counts."""
     docs = of(spark, sf_dir, "documents").select("doc_id", T.canonical_whitespace(F.col("text")).alias("t")).filter("t <> ''")
-    marked = dedup.keep_first(docs.withColumn("fp", T.sha(F.col("t"))), F.col("fp"), "doc_id")
+    sized = docs.select("doc_id", T.sha(F.col("t")).alias("fp"), F.length("t").alias("n"))
+    marked = dedup.keep_first(sized, F.col("fp"), "doc_id")
     retained = F.col("duplicate_of").isNull()
     part = F.when(~retained, "").when(split.below_fraction("s", F.col("fp"), 0.01), "validation").otherwise("train")
-    held = marked.select(F.when(retained, "retained").otherwise("duplicate").alias("status"), part.alias("split"), F.length("t").alias("n"))
+    held = marked.select(F.when(retained, "retained").otherwise("duplicate").alias("status"), part.alias("split"), "n")
     return held.groupBy("status", "split").agg(F.count("*").alias("documents"), F.sum("n").alias("characters"))
 
 

@@ -283,3 +283,36 @@ def test_relate(spark):
     pages = spark.createDataFrame([(1, ["b", "a", "x"])], "p int, ts array<string>")
     parts = spark.createDataFrame([("a", "A"), ("b", "B")], "title string, text string")
     assert rows(relate.transclude(pages, parts, "p", "ts", "title", "text")) == [(1, "B\nA", 1)]
+
+
+def test_offsets_whatever_the_ranges(spark):
+    """Streams of several pools, a hot one among them, as a plain running sum gives them."""
+    rows = [("hot" if i % 3 else f"p{i % 7}", i, 1 + i % 5) for i in range(500)]
+    want, so_far = {}, {}
+    for pool, doc, n in sorted(rows):
+        want[doc] = (so_far.get(pool, 0), so_far.get(pool, 0) + n)
+        so_far[pool] = want[doc][1]
+    for parts in ("1", "3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["doc"]: (r["first"], r["behind"]) for r in tokens.offsets(spark.createDataFrame(rows, "pool string, doc long, n long"), "pool", "doc", "n").collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_concordance_against_all_pairs(spark):
+    rows = [((i * 7) % 13, (i * 5) % 4) for i in range(60)] + [(None, 1), (3, None)]
+    pairs = [(a, b) for a in rows for b in rows if None not in a + b and a[1] > b[1]]
+    want = sum(1.0 if a[0] > b[0] else 0.5 if a[0] == b[0] else 0.0 for a, b in pairs) / len(pairs)
+    got = evaluate.concordance(spark.createDataFrame(rows, "s int, q int"), "s", "q").first()
+    assert got["pairs"] == len(pairs) and abs(got["concordance"] - want) < 1e-12
+
+
+def test_representation_by_sums(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i % 3, [float(x) for x in rng.normal(size=6) * (1, 2, 3, 1, 1, 0)]) for i in range(300)]
+    got = {r["g"]: r["effective_rank"] for r in evaluate.representation(spark.createDataFrame(rows, "g int, v array<double>").repartition(5), "g", "v").collect()}
+    for g in range(3):
+        a = np.array([v for k, v in rows if k == g])
+        s = np.linalg.svd(a - a.mean(0), compute_uv=False)
+        p = s[s > 1e-6] / s.sum()
+        assert abs(got[g] - np.exp(-(p * np.log(p)).sum())) < 1e-4

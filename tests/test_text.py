@@ -1,6 +1,8 @@
 """Literal cases of text, date and number expressions."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import dates as D
@@ -102,3 +104,11 @@ def test_half_and_even_indices():
 def test_sequence_likeness():
     assert udfs.longest_common("", "abc") == 0 and udfs.longest_common("xabcy", "zabcw") == 3
     assert udfs.ratio("abcd", "bcde") == 0.75
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80) | st.text("ab\n\U0001f600", max_size=80), st.integers(1, 12))
+def test_character_variety(text, n):
+    grams = [text[i : i + n] for i in range(len(text) - n + 1)]
+    want = (len(set(text)) / len(text) if text else 0.0, 1 - len(set(grams)) / len(grams) if grams else 0.0)
+    assert udfs.variety(text, n) == pytest.approx(want)
