@@ -232,14 +232,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
     # Numbered in the order of the words, whatever order the rows came in.
     place = {w: i for i, w in enumerate(sorted(names))}
     at = np.array([place[w] for w in names], np.int64)[np.array(coded.indices, np.int64)] if names else np.empty(0, np.int64)
+    del got, coded, names
     owner = np.repeat(np.arange(len(ids)), sizes)
     n, m = int(toxic.sum()), int(len(toxic) - toxic.sum())
     in_toxic = np.bincount(at, toxic[owner], len(place)) if len(place) else np.empty(0)
     in_all = np.bincount(at, minlength=len(place)).astype(float) if len(place) else np.empty(0)
+    del owner
     surprise = np.maximum(1, np.sqrt(ratio(in_toxic, in_all - in_toxic, n, m)))
     weight = inverse_frequencies(docs, text_col, place) * surprise
     ends = np.cumsum(sizes)
     vectors = [weighted(at[b - s : b], counts[b - s : b], weight) for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    del at, counts
     order = sorted(range(len(ids)), key=lambda i: (ids[i], toxic[i], sorted(vectors[i][0].tolist())))
     worth = (of.get(0, 0) / m if m else 1.0, of.get(1, 0) / n if n else 1.0)
     return Index(place, weight, [int(ids[i]) for i in order], toxic[order], [vectors[i] for i in order], worth)
