@@ -129,14 +129,13 @@ class Index:
         self.most = np.stack([self.dense[a : a + BLOCK].max(0) for a in range(0, len(kept), BLOCK)]) if kept else self.dense
         self.ids, self.labels, self.worth = np.array([ids[i] for i in kept], np.int64), labels[kept], every[kept]
         held = [vectors[i] for i in kept]
-        words = np.concatenate([v[0] for v in held]) if held else np.empty(0, np.int64)
-        weights = np.concatenate([v[1] for v in held]) if held else np.empty(0)
-        examples = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
-        rare = self.column[words] < 0
-        words, weights, examples = words[rare], weights[rare], examples[rare]
+        rare = [self.column[v[0]] < 0 for v in held]
+        words = np.concatenate([v[0][r] for v, r in zip(held, rare, strict=True)]).astype(np.int32) if held else np.empty(0, np.int32)
         by_word = np.argsort(words, kind="stable")
-        self.posted, self.posted_weight = examples[by_word].astype(np.int32), weights[by_word]
         self.word_start = np.searchsorted(words[by_word], np.arange(len(vocabulary) + 1))
+        self.posted = np.repeat(np.arange(len(held), dtype=np.int32), [int(r.sum()) for r in rare])[by_word]
+        self.posted_weight = np.concatenate([v[1][r] for v, r in zip(held, rare, strict=True)])[by_word] if held else np.empty(0)
+        del words, by_word, rare
         votes = np.array([self.vote(*self.nearest(*v, without=p)) for p, v in enumerate(held)])
         self.knots = isotonic(votes, self.labels, self.worth) if held else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
@@ -226,18 +225,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
     texts = cut(docs.select(F.col(key).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").distinct())
     got = texts.select("_id", "_toxic", count_words(F.col("_text")).alias("f")).select("_id", "_toxic", "f.*").toArrow().combine_chunks()
     ids, toxic = np.array(got["_id"], np.int64), np.array(got["_toxic"], np.int64)
-    counts, sizes = np.array(got["counts"].combine_chunks().flatten(), float), np.diff(np.array(got["words"].combine_chunks().offsets))
+    counts, sizes = np.array(got["counts"].combine_chunks().flatten(), np.int32), np.diff(np.array(got["words"].combine_chunks().offsets))
     coded = got["words"].combine_chunks().flatten().dictionary_encode()
     names = coded.dictionary.to_pylist() if len(coded) else []
     # Numbered in the order of the words, whatever order the rows came in.
     place = {w: i for i, w in enumerate(sorted(names))}
-    at = np.array([place[w] for w in names], np.int64)[np.array(coded.indices, np.int64)] if names else np.empty(0, np.int64)
+    at = np.array([place[w] for w in names], np.int32)[np.array(coded.indices)] if names else np.empty(0, np.int32)
     del got, coded, names
-    owner = np.repeat(np.arange(len(ids)), sizes)
+    of_toxic = np.repeat(toxic.astype(bool), sizes)
     n, m = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    in_toxic = np.bincount(at, toxic[owner], len(place)) if len(place) else np.empty(0)
+    in_toxic = np.bincount(at[of_toxic], minlength=len(place)).astype(float) if len(place) else np.empty(0)
     in_all = np.bincount(at, minlength=len(place)).astype(float) if len(place) else np.empty(0)
-    del owner
+    del of_toxic
     surprise = np.maximum(1, np.sqrt(ratio(in_toxic, in_all - in_toxic, n, m)))
     weight = inverse_frequencies(docs, text_col, place) * surprise
     ends = np.cumsum(sizes)
