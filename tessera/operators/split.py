@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -157,6 +159,43 @@ def disjoint_holdout(components: DataFrame, key: str, size: str, stratum: str, f
     return spark.createDataFrame(out, f"{key} {dict(components.dtypes)[key]}, split string")
 
 
+def holdout_misses(counts: np.ndarray, target: float, totals: np.ndarray, weight: float) -> np.ndarray:
+    """How far each row of counts (one column for each stratum) is from a held-out target.
+
+    The squared relative miss of the whole, and `weight` times the strata's own, each by its share of all."""
+    share = totals / totals.sum()
+    want = target * share
+    whole = ((counts.sum(-1) - target) / max(target, 1)) ** 2
+    return whole + weight * ((((counts - want) / np.maximum(want, 1)) ** 2) * share).sum(-1)
+
+
+def nearest_holdout(components: DataFrame, key: str, stratum: str, size: str, target: int, seed: str, split: str = "validation", weight: float = 1.0, most: int | None = None) -> DataFrame:
+    """(key, position): whole components for a held-out split, one after another the one that brings its counts nearest the target.
+
+    components: (key, stratum, size), a summary with one row for each component and stratum, small. Ties go by hash, components
+    over `most` rows stay out, and the choice ends when no component brings the counts nearer."""
+    rows = components.groupBy(key, stratum).agg(F.sum(size).alias("_n")).collect()
+    names, strata = sorted({r[0] for r in rows}, key=str), sorted({r[1] for r in rows}, key=str)
+    place, column = {k: i for i, k in enumerate(names)}, {s: i for i, s in enumerate(strata)}
+    held = np.zeros((len(names), len(strata)))
+    for r in rows:
+        held[place[r[0]], column[r[1]]] += r["_n"]
+    order = sorted(range(len(names)), key=lambda i: hashlib.sha256(f"{seed}:{split}:{names[i]}".encode()).hexdigest())
+    names, held = [names[i] for i in order], held[order]  # ties: the first of the least misses
+    totals, sofar, out = held.sum(0), np.zeros(len(strata)), []
+    free = np.ones(len(names), bool) if most is None else held.sum(1) <= most
+    miss = holdout_misses(sofar, target, totals, weight) if len(names) else 0.0
+    while free.any():
+        misses = np.where(free, holdout_misses(held + sofar, target, totals, weight), np.inf)
+        best = int(misses.argmin())
+        if misses[best] >= miss - 1e-15:
+            break
+        miss, free[best] = misses[best], False
+        sofar = sofar + held[best]
+        out.append((names[best], len(out) + 1))
+    return components.sparkSession.createDataFrame(out, f"{key} {dict(components.dtypes)[key]}, position int")
+
+
 def balanced_selection(df: DataFrame, key: str, author: str, work: str, n: int, seed: str) -> DataFrame:
     """n rows, always the one of the least used work, then author, then hash: a fold over one group."""
     held = df.select(key, author, work, hash_order(seed, F.col(key), "|").alias("_h"))
@@ -188,8 +227,6 @@ def balanced_selection(df: DataFrame, key: str, author: str, work: str, n: int,
 
 def blind_sample(ids: Sequence, n: int, seed: int, salt: str) -> list[tuple]:
     """n of the sorted ids by Python's seeded generator, each with a blind id."""
-    import hashlib
-
     chosen = random.Random(seed).sample(sorted(ids), n)
     return [(k, hashlib.sha256(f"{salt}|{k}".encode()).hexdigest()[:16]) for k in chosen]
 

@@ -1,5 +1,6 @@
 """Operators on small tables: literal cases, invariants and errors."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -316,3 +317,29 @@ def test_representation_by_sums(spark):
         s = np.linalg.svd(a - a.mean(0), compute_uv=False)
         p = s[s > 1e-6] / s.sum()
         assert abs(got[g] - np.exp(-(p * np.log(p)).sum())) < 1e-4
+
+
+@pytest.mark.parametrize("weight", [0.0, 1.0, 4.0])
+def test_nearest_holdout_against_a_plain_search(spark, weight):
+    """Each step tries every component; ends when none brings the counts nearer."""
+    rng = np.random.default_rng(3)
+    rows = [(f"c{i}", f"s{j}", int(n)) for i in range(40) for j in range(3) if (n := rng.integers(0, 9))]
+    size = {k: {s: n for c, s, n in rows if c == k} for k in {r[0] for r in rows}}
+    totals = {s: sum(n for _, t, n in rows if t == s) for s in ("s0", "s1", "s2")}
+    every, target, most = sum(totals.values()), 40, 14
+
+    def miss(chosen):
+        count = {s: sum(size[c].get(s, 0) for c in chosen) for s in totals}
+        whole = ((sum(count.values()) - target) / target) ** 2
+        return whole + weight * sum(totals[s] / every * ((count[s] - target * totals[s] / every) / max(1, target * totals[s] / every)) ** 2 for s in totals)
+
+    want, free = [], {c for c in size if sum(size[c].values()) <= most}
+    while free:
+        best = min(free, key=lambda c: (round(miss([*want, c]), 12), hashlib.sha256(f"x:validation:{c}".encode()).hexdigest()))
+        if miss([*want, best]) >= miss(want) - 1e-15:
+            break
+        want.append(best)
+        free.remove(best)
+    got = split.nearest_holdout(spark.createDataFrame(rows, "c string, s string, n int"), "c", "s", "n", target, "x", weight=weight, most=most)
+    assert [r["c"] for r in got.orderBy("position").collect()] == want and len(want) >= 3
+    assert split.nearest_holdout(spark.createDataFrame([], "c string, s string, n int"), "c", "s", "n", 5, "x").count() == 0
