@@ -1,11 +1,16 @@
 """Every stage against what its input should give, and the whole run."""
 
+import os
+from types import SimpleNamespace
+
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from tessera.llm import decontaminate as dc
+from tessera.llm._common import shared_folder
 
+from .conftest import PRIVATE
 from .test_near import plain_components, plain_print
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +69,28 @@ def test_odd_and_empty_input(spark, odd, none, name, stage):
     assert set(odd.columns) - {"position", "shard", "slot", "size", "target", "copies"} <= set(out.columns)
     out.collect()
     assert stage(spark, none, SF).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_every_input_column_passes_through(spark, odd, name, stage):
+    """Also those with names that an operator uses on the way."""
+    out = stage(spark, odd, SF)
+    kept = [c for c in odd.columns if name != "sharding" or c not in ("position", "shard", "slot")]
+    assert [c for c in out.columns if c in kept] == kept and (name == "sharding" or out.columns == odd.columns)
+    rows = out.collect()
+    assert rows and all(r[c] == 7 for r in rows for c in PRIVATE)
+
+
+def test_tables_of_earlier_stages_are_gone(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = {x.split("-")[0] + "-" + x.split("-")[1] for x in set(os.listdir(folder)) - before}
+    assert {x for x in left if x.startswith("pipeline")} == {"pipeline-mixing"} and not any(x.startswith("scratch") for x in left)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    held = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)), getConf=lambda: {}, master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
