@@ -61,12 +61,16 @@ def byte_slices(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """index with `text`: bytes [byte_start, byte_end) of its file, whose length and SHA-256 must fit.
 
     index: (file, byte_start, byte_end, sha256, ...); file is the last part of the path."""
+    own = [c for c in index.columns if c != "file"]
+    slices = index.groupBy("file").agg(F.collect_list(F.struct(*own)).alias("_slices"))
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.col("length").alias("_len"))
-    held = index.join(files, "file")
-    part = F.substring(F.col("content"), F.col("byte_start").cast("int") + 1, (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    fits = (F.col("byte_end") <= F.col("_len")) & (F.sha2(part, 256) == F.col("sha256"))
-    held = held.withColumn("text", F.decode(part, "UTF-8")).filter(F.assert_true(fits, F.concat(F.lit("bad slice of "), F.col("file"))).isNull())
-    return held.drop("content", "_len")
+    # A file meets the list of its slices once; what goes on from there is the slices' own bytes.
+    part = lambda s: F.substring(F.col("content"), s["byte_start"].cast("int") + 1, (s["byte_end"] - s["byte_start"]).cast("int"))
+    cut = F.transform("_slices", lambda s: F.struct(s.alias("s"), part(s).alias("bytes"), (s["byte_end"] <= F.col("_len")).alias("inside")))
+    held = slices.join(files, "file").select("file", F.explode(cut).alias("_x"))
+    fits = F.col("_x.inside") & (F.sha2("_x.bytes", 256) == F.col("_x.s.sha256"))
+    held = held.filter(F.assert_true(fits, F.concat(F.lit("bad slice of "), F.col("file"))).isNull())
+    return held.select(*[F.col("file") if c == "file" else F.col(f"_x.s.{c}") for c in index.columns], F.decode("_x.bytes", "UTF-8").alias("text"))
 
 
 OPEN = re.compile(r'<text id="([^"]*)" url="([^"]*)">')
