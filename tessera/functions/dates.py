@@ -13,9 +13,9 @@ def period_bucket(death_years: Column) -> Column:
     return F.when(unknown, "unknown").when(latest <= 1800, "origins_through_1800").when(latest <= 1900, "nineteenth_century_bridge").otherwise("author_died_after_1900_review")
 
 
-def years(text: Column) -> Column:
-    """Four-digit years from 1000 to 2099 that stand alone."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(1\d{3}|20\d{2})(?!\d)")), lambda y: y.cast("int"))
+def years(text: Column, beside: str = "0-9") -> Column:
+    """Four-digit years from 1000 to 2099 that stand alone: no character of the class `beside` touches them."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![{beside}])(1\d{{3}}|20\d{{2}})(?![{beside}])")), lambda y: y.cast("int"))
 
 
 def standalone_year(line: Column) -> Column:

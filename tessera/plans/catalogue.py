@@ -649,7 +649,8 @@ with y as (select doc_id, unnest(regexp_extract_all(text, '\b(1\d{3}|20\d{2})\b'
 select cast(y as int) as year, count(*) as n from y group by 1
 """)
 def doc_year_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return of(spark, sf_dir, "documents").select(F.explode(D.years(F.col("text"))).alias("year")).groupBy("year").agg(F.count("*").alias("n"))
+    """Years that are words: digits inside keys and digests, which letters touch, are none."""
+    return of(spark, sf_dir, "documents").select(F.explode(D.years(F.col("text"), "0-9A-Za-z_")).alias("year")).groupBy("year").agg(F.count("*").alias("n"))
 
 
 @named("""
