@@ -106,9 +106,10 @@ def clean_verse_lines(text: Column) -> Column:
 
 
 def between_markers(text: Column, start: str, end: str) -> Column:
-    """What lies between the line that holds `start` and the line that holds `end`; each may be missing."""
+    """What lies between the line that begins with `start` and the line that begins with `end`, in either case; each may be missing."""
     rows = F.split(text, "\n", -1)
-    at = lambda what, none: F.coalesce(F.nullif(F.array_position(F.transform(rows, lambda x: F.contains(F.lower(x), F.lit(what.lower()))), True), F.lit(0)), none)
+    marks = lambda x, what: F.regexp_like(x, F.lit(rf"(?iU)^\s*\Q{what}\E"))
+    at = lambda what, none: F.coalesce(F.nullif(F.array_position(F.transform(rows, lambda x: marks(x, what)), True), F.lit(0)), none)
     first, last = at(start, F.lit(0)), at(end, F.size(rows) + 1)
     return F.when(last > first, F.array_join(F.slice(rows, first.cast("int") + 1, (last - first - 1).cast("int")), "\n")).otherwise(text)
 
