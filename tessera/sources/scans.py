@@ -36,14 +36,23 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object to a line. Only the last line may be torn, and only without its line feed; it is left out."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("_t"))
-    rows = raw.select("path", F.endswith("_t", F.lit("\n")).alias("_whole"), F.posexplode(F.split("_t", "\n", -1)).alias("_at", "_line"), F.size(F.split("_t", "\n", -1)).alias("_n"))
-    parsed = rows.filter("_line <> ''").withColumn("_v", F.from_json("_line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    torn = (F.col("_at") == F.col("_n") - 1) & ~F.col("_whole")
-    bad = F.col("_v._bad").isNotNull()
-    fine = F.assert_true(~bad | torn, F.concat(F.lit("bad line in "), F.col("path"))).isNull()
-    return parsed.filter(fine).filter(~bad).select("_v.*").drop("_bad")
+    """One object to a line. Only the last line may be torn, and only without its line feed; it is left out.
+
+    Lines are read by ranges of the files, so a file may be larger than memory."""
+    meta = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", meta["file_path"].alias("_path"), meta["file_size"].alias("_size"), meta["file_block_start"].alias("_start"))
+    value = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # Beside a number that must not be made twice, the parsed value isn't made twice either.
+    parsed = raw.select("_path", "_size", "_start", value.alias("_v"), F.octet_length("value").cast("long").alias("_len"), F.monotonically_increasing_id().alias("_at"))
+    held = parsed.filter((F.col("_at") >= 0) & (F.col("_len") > 0) & F.col("_v._bad").isNull()).select("_v.*").drop("_bad")
+    # By the sums of a file's ranges, a bad line is the file's last one (of the highest number in the last range with lines) and lacks its line
+    # feed (the lines with a feed each are a byte longer than the file; the reader leaves out a byte order mark).
+    bad = (F.col("_len") > 0) & F.col("_v._bad").isNotNull()
+    ranges = parsed.withColumn("_wrong", bad.cast("long")).groupBy("_path", "_size", "_start").agg(F.sum("_wrong").alias("_n"), F.max(F.col("_at") * 2 + F.col("_wrong")).alias("_last"), F.sum(F.col("_len") + 1).alias("_bytes"))
+    files = ranges.groupBy("_path", "_size").agg(F.sum("_n").alias("_n"), (F.max_by("_last", "_start") % 2 == 1).alias("_last"), F.sum("_bytes").alias("_bytes"))
+    torn = (F.col("_n") == 1) & F.col("_last") & (F.col("_bytes") - F.col("_size")).isin(1, -2)
+    verdict = files.filter(F.assert_true((F.col("_n") == 0) | torn, F.concat(F.lit("bad line in "), F.col("_path"))).isNotNull())
+    return held.unionAll(verdict.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema]))
 
 
 def hashed_json_lines(spark: SparkSession, path: str, schema: str, text: str, digest: str) -> DataFrame:

@@ -27,6 +27,30 @@ def test_csv_and_json(spark, tmp_path):
     assert scans.hashed_json_lines(spark, str(tmp_path / "z.jsonl"), "text string, sha string", "text", "sha").count() == 1
 
 
+def test_json_lines_by_ranges(spark, tmp_path):
+    line = '{"id":%d,"text":"' + "a" * 90 + '"}\n'
+    good = "".join(line % i for i in range(40))
+    cases = {"whole": good, "open": good[:-1], "torn": good + '{"id":9,"te', "long": good + '{"id":9,"text":"' + "b" * 600, "blank": "\n" + good + "\n\n {", "empty": "", "alone": "{"}
+    cases |= {"mark": "\ufeff" + good + "{"}
+    wrong = {"middle": good + "{\n" + good, "fed": good + "{\n", "both": good + "{\n" + good + "{", "earlier": good + "{\n" + good[:-1]}
+    for name, text in (cases | wrong).items():
+        (tmp_path / f"{name}.jsonl").write_text(text)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, text in cases.items():
+            df = scans.json_lines(spark, str(tmp_path / f"{name}.jsonl"), "id long, text string")
+            assert sorted(r["id"] for r in df.collect()) == (list(range(40)) if len(text) > 1 else []), name
+        assert scans.json_lines(spark, str(tmp_path / "whole.jsonl"), "id long, text string").rdd.getNumPartitions() > 8
+        for name in wrong:
+            with pytest.raises(SparkRuntimeException):
+                scans.json_lines(spark, str(tmp_path / f"{name}.jsonl"), "id long, text string").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_slices(spark, tmp_path):
     data = "però così".encode()
     (tmp_path / "s.txt").write_bytes(data)
