@@ -7,10 +7,10 @@ is left out, and one that the labels say nothing about keeps its plain TF-IDF we
 nearest training examples by exact cosine, weighted by the cosine, then calibrated by isotonic regression on votes
 that leave the example itself out; the nearest examples are kept as evidence.
 
-The examples lie in an inverted index cut into blocks of like examples. The rarer words' postings are summed for every
-example. The common words (in over `COMMON_SHARE` of the examples), whose postings would be most of the work, keep their
-largest weight in each block, which bounds what they add to any cosine of the block: a query takes the examples with the
-highest bounds first, and then every example whose bound reaches the k-th best cosine, so the result is the same as that
+The examples lie in an inverted index. The rarer words' postings are summed for every example. The common words (in over
+`COMMON_SHARE` of the examples), whose postings would be most of the work, are columns of a matrix: what they add to the
+cosines with all examples is one product for `BLOCK` documents. It is of single precision, so every example that comes
+within its rounding of the k-th best cosine is computed once more in double precision, and the result is the same as that
 of scoring every example on every word.
 
 The labelled examples are a bounded sample, by hash of the id (`MAX_TOXIC`, `MAX_OTHER`); so the index that goes to the
@@ -44,7 +44,8 @@ MAX_TOXIC, MAX_OTHER = 3_000, 5_000
 NEAREST = 15
 #: Weight of the examples' toxic rate in a vote.
 PRIOR_WEIGHT = 0.05
-BLOCK = 4
+#: Documents that are multiplied by the examples' common words at once.
+BLOCK = 32
 COMMON_SHARE = 0.1
 #: More than single precision can be off in a cosine.
 SLACK = 1e-5
@@ -102,7 +103,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Labelled examples as vectors of weighted words: postings of the rarer words, and of the common ones blocks with their maxima."""
+    """Labelled examples as vectors of weighted words: postings of the rarer words, and a matrix of the common ones."""
 
     def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, ids: Sequence[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], worth: tuple[float, float]) -> None:
         self.vocabulary, self.weight = vocabulary, weight
@@ -116,7 +117,6 @@ class Index:
         common = np.flatnonzero(uses > COMMON_SHARE * len(kept))
         self.column = np.full(len(vocabulary), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        # Examples of one language and of like length lie together, so that a block's maxima are near its weights.
         dense = np.zeros((len(kept), len(common)), np.float32)
         for row, i in enumerate(kept):
             at, w = vectors[i]
@@ -126,7 +126,7 @@ class Index:
         order = sorted(range(len(kept)), key=lambda r: (int(first[r]), len(vectors[kept[r]][0]), ids[kept[r]], int(labels[kept[r]])))
         kept = [kept[r] for r in order]
         self.dense = dense[order]
-        self.most = np.stack([self.dense[a : a + BLOCK].max(0) for a in range(0, len(kept), BLOCK)]) if kept else self.dense
+        del dense
         self.ids, self.labels, self.worth = np.array([ids[i] for i in kept], np.int64), labels[kept], every[kept]
         held = [vectors[i] for i in kept]
         rare = [self.column[v[0]] < 0 for v in held]
@@ -136,7 +136,7 @@ class Index:
         self.posted = np.repeat(np.arange(len(held), dtype=np.int32), [int(r.sum()) for r in rare])[by_word]
         self.posted_weight = np.concatenate([v[1][r] for v, r in zip(held, rare, strict=True)])[by_word] if held else np.empty(0)
         del words, by_word, rare
-        votes = np.array([self.vote(*self.nearest(*v, without=p)) for p, v in enumerate(held)])
+        votes = np.array([self.vote(*self.nearest(*v, without=p, common=c)) for p, (v, c) in enumerate(zip(held, self.common(held), strict=True))])
         self.knots = isotonic(votes, self.labels, self.worth) if held else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -145,35 +145,37 @@ class Index:
         counts = np.fromiter(found.values(), float, len(found))
         return weighted(at[at >= 0], counts[at >= 0], self.weight)
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, by cosine and then position."""
+    def common(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """What the common words add to each vector's cosines with all examples, in single precision."""
+        for a in range(0, len(vectors), BLOCK):
+            some = vectors[a : a + BLOCK]
+            queries = np.zeros((len(some), self.dense.shape[1]), np.float32)
+            for row, (at, weight) in zip(queries, some, strict=True):
+                column = self.column[at]
+                row[column[column >= 0]] = weight[column >= 0]
+            yield from queries @ self.dense.T
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEAREST, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples, by cosine and then position; common: this vector's row of `common`."""
         size = len(self.ids)
         if not len(at) or not size:
             return np.empty(0, np.int64), np.empty(0)
+        if common is None:
+            (common,) = self.common([(at, weight)])
         column = self.column[at]
         rare = column < 0
         first = self.word_start[at[rare]]
         n = self.word_start[at[rare] + 1] - first
         posts = spread(first, n)
-        partial = np.bincount(self.posted[posts], self.posted_weight[posts] * np.repeat(weight[rare], n), size)
+        partial = np.bincount(self.posted.take(posts), self.posted_weight.take(posts) * np.repeat(weight[rare], n), size)
+        near = partial + common
+        if without >= 0:
+            near[without] = 0
+        least = np.partition(near, size - k)[size - k] if size >= k else 0.0
+        where = np.flatnonzero((near >= least - SLACK) & (near > 0))
         query = np.zeros(self.dense.shape[1])
         query[column[~rare]] = weight[~rare]
-        narrow = query.astype(np.float32)
-        # What the common words can add in a block, with room for the rounding of single precision.
-        bound = partial + np.repeat(self.most @ narrow, BLOCK)[:size] + SLACK
-        if without >= 0:
-            bound[without] = 0
-        top = np.argpartition(-bound, min(4 * k, size - 1))[: 4 * k]
-        cosine = partial[top] + self.dense[top] @ narrow
-        if without >= 0:
-            cosine[top == without] = 0
-        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
-        where = np.flatnonzero((bound >= least - SLACK) & (bound > SLACK))
-        near = partial[where] + self.dense[where] @ narrow
-        if len(near) > k:
-            some = near >= np.partition(near, len(near) - k)[len(near) - k] - SLACK
-            where = where[some]
-        exact = partial[where] + self.dense[where].astype(float) @ query
+        exact = partial[where] + (self.dense[where] * query).sum(1)
         return best(where[exact > 0], exact[exact > 0], k)
 
     def vote(self, where: np.ndarray, cosine: np.ndarray) -> float:
@@ -182,10 +184,17 @@ class Index:
         return float((w @ self.labels[where] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
 
     def score(self, text: str) -> tuple[float, list[dict]]:
-        at, weight = self.vector(text)
+        return self.scores([text])[0]
+
+    def scores(self, texts: Sequence[str]) -> list[tuple[float, list[dict]]]:
+        """The score and the nearest examples of each text."""
+        vectors = [self.vector(t) for t in texts]
+        return [self._scored(*v, c) for v, c in zip(vectors, self.common(vectors), strict=True)]
+
+    def _scored(self, at: np.ndarray, weight: np.ndarray, common: np.ndarray) -> tuple[float, list[dict]]:
         if not len(at):
             return self.bare, []
-        where, cosine = self.nearest(at, weight)
+        where, cosine = self.nearest(at, weight, common=common)
         value = float(np.interp(self.vote(where, cosine), *self.knots))
         return min(1.0, max(0.0, value)), [{"doc_id": int(self.ids[p]), "cosine": float(c), "toxic": int(self.labels[p])} for p, c in zip(where[:3], cosine[:3], strict=True)]
 
@@ -279,7 +288,8 @@ def scorer(index: Index):
 
     @F.pandas_udf(SCORED)
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([index.score(t or "") for t in texts], columns=["score", "evidence"])
+        rows = [row for a in range(0, len(texts), BLOCK) for row in index.scores([t or "" for t in texts.iloc[a : a + BLOCK]])]
+        return pd.DataFrame(rows, columns=["score", "evidence"])
 
     return score
 

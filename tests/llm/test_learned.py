@@ -56,6 +56,24 @@ def test_block_max_search_is_exact(block, share, monkeypatch):
         assert list(where) == want and np.allclose(got, cosine[want])
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_texts_scored_together_score_as_alone(share, monkeypatch):
+    monkeypatch.setattr(tox, "COMMON_SHARE", share)
+    index, _ = small_index()
+    index.vocabulary = {f"t{chr(97 + i // 26)}{chr(97 + i % 26)}".encode(): i for i in range(60)}
+    rng, words = np.random.default_rng(4), [w.decode() for w in index.vocabulary]
+    texts = ["", "unknown words"] + [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(2 * tox.BLOCK + 3)]
+    together = index.scores(texts)
+    assert together == [index.score(t) for t in texts] and together[:2] == [(index.bare, [])] * 2
+    products = list(index.common([index.vector(t) for t in texts]))
+    assert len(products) == len(texts) and not products[0].any()
+    for text, product in zip(texts, products, strict=True):
+        at, w = index.vector(text)
+        query = np.zeros(index.dense.shape[1])
+        query[index.column[at][index.column[at] >= 0]] = w[index.column[at] >= 0]
+        assert np.abs(product - index.dense.astype(float) @ query).max() < tox.SLACK / 2
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.lists(st.sampled_from(["a", "Ä", "ß", "İ", "_", "1", "٣", "“", " ", "\n", "ﬁ", "-", "é", "\u0301", "²", "漢"]), max_size=30).map("".join))
 def test_words_as_bytes(text):
